@@ -141,11 +141,17 @@ def leaf_texts(nodes: Column) -> Column:
     return F.filter(texts, lambda t: t != "")
 
 
+# Markup that carries no visible text, and entities of plain text.
+HIDDEN_MARKUP = (
+    r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<!--.*?-->|<!doctype[^>]*>"
+)
+ENTITIES = [("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")]
+
+
 def page_text(html: Column) -> Column:
     """Visible text of markup, by native expressions only."""
-    bare = F.regexp_replace(html, r"(?is)<(script|style|noscript)\b.*?</\1\s*>|<!--.*?-->|<!doctype[^>]*>", " ")
-    bare = F.regexp_replace(bare, r"(?s)<[^>]*>", " ")
-    for entity, char in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
+    bare = F.regexp_replace(F.regexp_replace(html, HIDDEN_MARKUP, " "), r"(?s)<[^>]*>", " ")
+    for entity, char in ENTITIES:
         bare = F.replace(bare, F.lit(entity), F.lit(char))
     return normalize_ws(bare)
 

@@ -70,8 +70,8 @@ def write_version(df: DataFrame, root: str, version: int) -> None:
     df.write.mode("overwrite").parquet(f"{root}/version={version}")
 
 
-def latest_version(spark: SparkSession, root: str) -> int | None:
-    """Highest version whose write was committed."""
+def latest_version(spark: SparkSession, root: str, below: int | None = None) -> int | None:
+    """Highest version whose write was committed, optionally only those below a number."""
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(path):
@@ -81,7 +81,9 @@ def latest_version(spark: SparkSession, root: str) -> int | None:
         name = status.getPath().getName()
         done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
         if name.startswith("version=") and fs.exists(done):
-            found.append(int(name.split("=", 1)[1]))
+            number = int(name.split("=", 1)[1])
+            if below is None or number < below:
+                found.append(number)
     return max(found, default=None)
 
 

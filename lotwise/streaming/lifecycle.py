@@ -1,4 +1,4 @@
-"""Listing lifecycle, queue state and sightings over streams.
+"""Listing lifecycle and sightings over streams.
 
 Each micro-batch folds into a stored state table with the same operators the batch job uses.
 State versions are named by batch id, so a batch that runs again after a failure replaces its own
@@ -16,10 +16,8 @@ from lotwise.sources.tables import latest_version, read_version, write_version
 
 def previous_version(spark: SparkSession, root: str, batch_id: int) -> DataFrame | None:
     """State before this batch; a version left by an earlier try of the batch does not count."""
-    last = latest_version(spark, root)
-    while last is not None and last >= batch_id:
-        last = last - 1 if last > 0 else None
-    return read_version(spark, root, last) if last is not None else None
+    last = latest_version(spark, root, below=batch_id)
+    return None if last is None else read_version(spark, root, last)
 
 
 def fold_lifecycle(root: str, key: str, at: str, kind: str, order: list[str]):
