@@ -154,10 +154,14 @@ def next_capture_batch(
 
 
 def next_work_batch(queue: DataFrame, excluded: DataFrame, control: DataFrame, now: Column, size: int = 1) -> DataFrame:
-    """Oldest queued work that is due, unless work is paused. ``control`` has one row with state."""
-    active = control.filter(F.col("state") == "active").select(F.lit(True).alias("_on")).limit(1)
+    """Oldest queued work that is due, unless work is paused.
+
+    ``control`` has one row: switch and state; every queue row names the switch it obeys.
+    """
+    active = control.filter(F.col("state") == "active").select("switch").limit(1)
     due = queue.filter((F.col("state") == "queued") & (F.col("available_at") <= now))
-    open_ = due.join(excluded.select("listing_id"), "listing_id", "left_anti").crossJoin(F.broadcast(active)).drop("_on")
+    allowed = due.join(excluded.select("listing_id"), "listing_id", "left_anti")
+    open_ = allowed.join(F.broadcast(active), "switch", "left_semi")
     return open_.orderBy("requested_at", "listing_id").limit(size)
 
 

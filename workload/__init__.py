@@ -49,4 +49,4 @@ def load() -> None:
         importlib.import_module(f"workload.{name}")
 
 
-MODULES = ["valuation"]
+MODULES = ["valuation", "search", "text"]
