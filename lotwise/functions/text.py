@@ -121,15 +121,14 @@ def locality_key(place: Column) -> Column:
     return F.when(key != "", F.coalesce(F.try_element_at(aliases, key), key))
 
 
+# A token that says nothing about identity: one character, a short number, a stop word.
+_EMPTY_TOKEN = "^(?:.|[0-9]{1,3}|" + "|".join(STOP_WORDS) + ")?$"
+
+
 def tokens(text: Column) -> Column:
     """Distinct, sorted identity tokens of a text."""
-    parts = F.split(fold(text), r"[^a-z0-9]+")
-    stop = F.array(*[F.lit(w) for w in STOP_WORDS])
-    kept = F.filter(
-        parts,
-        lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t) & ~t.rlike(r"^[0-9]{1,3}$"),
-    )
-    return F.array_sort(F.array_distinct(kept))
+    parts = F.array_distinct(F.split(fold(text), r"[^a-z0-9]+"))
+    return F.sort_array(F.filter(parts, lambda t: ~t.rlike(_EMPTY_TOKEN)))
 
 
 def unescape_embedded(text: Column) -> Column:

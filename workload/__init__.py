@@ -34,11 +34,12 @@ class Tables:
         self.spark, self.folder = prepare(spark), folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        from lotwise.sources.tables import read_table
+        from lotwise.sources.tables import read_table, spread
 
         if name.startswith("_"):
             raise AttributeError(name)
-        return read_table(self.spark, self.folder, name)
+        df = read_table(self.spark, self.folder, name)
+        return spread(df) if name in ("documents", "pages", "conversations") else df
 
 
 def load() -> None:
@@ -49,4 +50,4 @@ def load() -> None:
         importlib.import_module(f"workload.{name}")
 
 
-MODULES = ["valuation", "search", "text"]
+MODULES = ["valuation", "search", "text", "history", "duplicates", "pages"]
