@@ -254,14 +254,16 @@ def any_contact_data(texts: Column) -> Column:
 
 def clean_allowlisted(text: Column, maximum: int) -> Column:
     """Collapsed text, or null when it is empty, too long, or carries private wording."""
-    value = normalize_ws(text)
-    private = value.rlike(
-        r"(?iu)https?://|www\.|contact|perfil|profile|telefone|telem[oó]vel|pagamento|payment|iban"
-        r"|financiamento|prestaç|mensalidade|entrada|sinal|login|captcha"
-    )
-    return F.when(
-        (value != "") & (F.length(value) <= maximum) & ~contains_contact_data(value) & ~private, value
-    )
+
+    def allowed(value: Column) -> Column:
+        private = value.rlike(
+            r"(?iu)https?://|www\.|contact|perfil|profile|telefone|telem[oó]vel|pagamento|payment|iban"
+            r"|financiamento|prestaç|mensalidade|entrada|sinal|login|captcha"
+        )
+        clean = ~contains_contact_data(value) & ~private
+        return F.when((value != "") & (F.length(value) <= maximum) & clean, value)
+
+    return let(normalize_ws(text), allowed)
 
 
 def explicit_indicator(text: Column, positive: str) -> Column:

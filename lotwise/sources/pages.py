@@ -549,13 +549,22 @@ def extract_labelled_pairs(nodes: DataFrame, section_name: str = "combined-detai
     labels = F.create_map(*[F.lit(x) for pair in DETAIL_LABELS.items() for x in pair])
     paragraphs = F.filter(d, lambda n: n["tag"] == "p")
 
+    def holder(node: Column) -> Column:
+        return _first(F.filter(v, lambda n: n["seq"] == node["parent"]))
+
+    def judge(p: Column, both: Column) -> Column:
+        def shape(value: Column) -> Column:
+            named = F.struct(F.try_element_at(labels, text_of(v, p)).alias("key"), value.alias("value"))
+            return F.when((F.size(both) == 2) & (_first(both)["seq"] == p["seq"]) & value.isNotNull(), named)
+
+        return X.let(X.clean_allowlisted(text_of(v, F.get(both, F.lit(1))), 200), shape)
+
     def pair(p: Column) -> Column:
-        parent = _first(F.filter(v, lambda n: n["seq"] == p["parent"]))
-        outer = _first(F.filter(v, lambda n: n["seq"] == parent["parent"]))
-        both = F.filter(v, lambda n: (n["tag"] == "p") & (n["seq"] >= outer["seq"]) & (n["seq"] <= outer["last"]))
-        ok = (F.size(both) == 2) & (_first(both)["seq"] == p["seq"])
-        value = X.clean_allowlisted(text_of(v, F.get(both, F.lit(1))), 200)
-        return F.when(ok & value.isNotNull(), F.struct(F.try_element_at(labels, text_of(v, p)).alias("key"), value.alias("value")))
+        def inside(outer: Column) -> Column:
+            both = F.filter(v, lambda n: (n["tag"] == "p") & (n["seq"] >= outer["seq"]) & (n["seq"] <= outer["last"]))
+            return X.let(both, lambda b: judge(p, b))
+
+        return X.let(X.let(holder(p), holder), inside)
 
     known = F.filter(paragraphs, lambda p: F.map_contains_key(labels, text_of(v, p)))
     df = df.withColumn("_pairs", F.array_distinct(F.array_compact(F.transform(known, pair))))
@@ -570,15 +579,18 @@ def extract_labelled_pairs(nodes: DataFrame, section_name: str = "combined-detai
 
 def extract_equipment(nodes: Column, section_name: str = "content-equipments-section") -> Column:
     """Distinct cleaned paragraphs of the equipment section, at most 100 as the source allows."""
-    v = visible(nodes)
-    inside = section(v, section_name)
-    paragraphs = F.filter(
-        inside,
-        lambda p: (p["tag"] == "p")
-        & ~F.exists(inside, lambda b: (b["tag"] == "button") & (b["seq"] >= p["seq"]) & (b["seq"] <= p["last"])),
-    )
-    cleaned = F.transform(paragraphs, lambda p: X.clean_allowlisted(text_of(v, p), 200))
-    return F.slice(F.array_distinct(F.array_compact(cleaned)), 1, 100)
+
+    def listed(inside: Column) -> Column:
+        buttons = F.filter(inside, lambda n: n["tag"] == "button")
+        paragraphs = F.filter(
+            inside,
+            lambda p: (p["tag"] == "p")
+            & ~F.exists(buttons, lambda b: (b["seq"] >= p["seq"]) & (b["seq"] <= p["last"])),
+        )
+        cleaned = F.transform(paragraphs, lambda p: X.clean_allowlisted(text_of(inside, p), 200))
+        return F.slice(F.array_distinct(F.array_compact(cleaned)), 1, 100)
+
+    return X.let(X.let(visible(nodes), lambda v: section(v, section_name)), listed)
 
 
 _DESCRIPTION_HEADING = (
@@ -655,7 +667,10 @@ def embedded_facts(source: Column) -> Column:
 
 def description_candidates(nodes: Column) -> Column:
     """All texts that may be the description, in document order of their kind."""
-    v = visible(nodes)
+    return X.let(visible(nodes), lambda v: _descriptions(nodes, v))
+
+
+def _descriptions(nodes: Column, v: Column) -> Column:
     labelled = F.filter(
         v,
         lambda n: (n["field"] == "description")
@@ -689,8 +704,9 @@ def extract_detail_description(nodes: Column) -> Column:
         F.lit("").cast("string"),
         lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best),
     )
-    ok = (longest != "") & (F.length(longest) <= 20_000) & ~X.contains_contact_data(longest)
-    return F.when(ok, longest)
+    return X.let(
+        longest, lambda t: F.when((t != "") & (F.length(t) <= 20_000) & ~X.contains_contact_data(t), t)
+    )
 
 
 # Elements a sanitised page keeps, and elements dropped with their content.
