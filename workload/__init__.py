@@ -50,4 +50,4 @@ def load() -> None:
         importlib.import_module(f"workload.{name}")
 
 
-MODULES = ["valuation", "search", "text", "history", "duplicates", "pages", "joins"]
+MODULES = ["valuation", "search", "text", "history", "duplicates", "pages", "joins", "quality"]
