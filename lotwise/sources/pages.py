@@ -13,6 +13,7 @@ from html.parser import HTMLParser
 import re
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,6 +29,9 @@ NODE = (
     "href:string,src:string,content:string,property:string,type:string,id:string,datetime:string,text:string>"
 )
 NODES = f"array<{NODE}>"
+_NUMBERS = ("seq", "last", "parent")
+_TEXTS = ("tag", "name", "field", "param", "label", "href", "src", "content", "property", "type", "id", "datetime", "text")
+_NODE_LIST = pa.list_(pa.struct([(n, pa.int32()) for n in _NUMBERS] + [(n, pa.string()) for n in _TEXTS]))
 
 # Elements without content or end tag, and elements whose start ends a paragraph.
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
@@ -103,18 +107,18 @@ def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", name_
     source = pages.select(key, html)
     kind = source.schema[key].dataType.simpleString()
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text in batch[html]:
+            for text in batch.column(1).to_pylist():
                 reader = _NodeReader(name_attr, field_attr)
                 reader.feed(text or "")
                 reader.close()
                 reader._close(0)
                 rows.append(reader.nodes)
-            yield pd.DataFrame({key: batch[key], "nodes": rows})
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _NODE_LIST)], [key, "nodes"])
 
-    return source.mapInPandas(read, f"{key} {kind}, nodes {NODES}")
+    return source.mapInArrow(read, f"{key} {kind}, nodes {NODES}")
 
 
 def _within(nodes: Column, node: Column) -> Column:
