@@ -14,7 +14,7 @@ import re
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions import facts as X
@@ -335,18 +335,21 @@ def extract_cards(nodes: DataFrame, rules: CardRules = CardRules(), key: str = "
     )
     texts = F.col("texts")
     cards = cards.withColumn("displayed_price", F.coalesce("_price", _first(F.filter(texts, is_price_text))))
+
+    # Known values are removed as whole elements: a derived column named inside a lambda would be
+    # worked out again for every element.
+    def without(values: Column, known: Column) -> Column:
+        return F.when(known.isNull(), values).otherwise(F.array_remove(values, known))
+
     other = F.filter(
-        texts,
-        lambda t: ~t.eqNullSafe(F.col("displayed_price"))
-        & ~is_price_text(t)
-        & ~t.rlike("(?iu)^(?:sponsored|patrocinado|save|guardar)$"),
+        without(texts, F.col("displayed_price")),
+        lambda t: ~is_price_text(t) & ~t.rlike("(?iu)^(?:sponsored|patrocinado|save|guardar)$"),
     )
     cards = cards.withColumn("title", F.coalesce("_title", _first(other)))
     after = F.slice(texts, F.greatest(F.array_position(texts, F.col("title")) + 1, F.lit(1)).cast("int"), F.greatest(F.size(texts), F.lit(1)))
     place = F.filter(
-        after,
-        lambda t: ~t.eqNullSafe(F.col("displayed_price"))
-        & ~t.rlike(r"(?iu)^(?:\d[\d., ]*\s*(?:km|mi)|diesel|petrol|gasolina|manual|automatic|automático)$"),
+        without(after, F.col("displayed_price")),
+        lambda t: ~t.rlike(r"(?iu)^(?:\d[\d., ]*\s*(?:km|mi)|diesel|petrol|gasolina|manual|automatic|automático)$"),
     )
     cards = cards.withColumn("location", F.coalesce("_place", _first(place)))
     cards = cards.withColumn(
@@ -389,11 +392,15 @@ def extract_cards(nodes: DataFrame, rules: CardRules = CardRules(), key: str = "
 
 
 def mark_repeats(cards: DataFrame, key: str) -> DataFrame:
-    """Add repeated: an accepted card whose listing already had an accepted card on the page."""
-    good = cards.filter(F.size("reasons") == 0)
-    firsts = good.groupBy(key, "source_listing_id").agg(F.min("card_index").alias("_first"))
-    return cards.join(firsts, [key, "source_listing_id"], "left").withColumn(
-        "repeated", (F.size("reasons") == 0) & (F.col("card_index") > F.col("_first"))
+    """Add repeated: an accepted card whose listing already had an accepted card on the page.
+
+    A window and not a filter, since a filter on the reasons would pull all the rules behind them
+    down into one expression. Its partitions hold the cards of one listing on one page.
+    """
+    accepted = F.size("reasons") == 0
+    same = Window.partitionBy(key, "source_listing_id")
+    return cards.withColumn("_first", F.min(F.when(accepted, F.col("card_index"))).over(same)).withColumn(
+        "repeated", F.coalesce(accepted & (F.col("card_index") > F.col("_first")), F.lit(False))
     ).drop("_first")
 
 
