@@ -29,10 +29,8 @@ HEADLINE = [
     "doc_near_duplicates",
     "contact_data_docs",
     "duplicate_pairs",
-    "duplicate_groups",
     "page_text",
     "page_cards",
-    "article_cards",
     "price_changes",
     "lifecycle_state",
     "scan_stop_point",

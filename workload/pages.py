@@ -163,6 +163,11 @@ def article_counts(t):
     return P.card_counts(cards).select("page_id", "recognized", "rejected")
 
 
+def over_cores(t, pages):
+    """Spread few derived pages, which would otherwise end up in one task."""
+    return pages.repartition(t.spark.sparkContext.defaultParallelism, "page_id")
+
+
 def market_pages(t):
     """Result pages of 40 cards each, put together from parts."""
     card = F.format_string(
@@ -181,7 +186,8 @@ def market_pages(t):
     # A page holds 40 cards at most.
     pages = cards.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "card"))).alias("c"))
     body = F.array_join(F.transform("c", lambda x: x["card"]), "\n")
-    return pages.select("page_id", F.concat(F.lit("<!doctype html><html><body>"), body, F.lit("</body></html>")).alias("html"))
+    whole = pages.select("page_id", F.concat(F.lit("<!doctype html><html><body>"), body, F.lit("</body></html>")).alias("html"))
+    return over_cores(t, whole)
 
 
 _RULES = P.CardRules(image_host=r"^img\.example$")
@@ -237,7 +243,7 @@ def article_pages(t):
     )
     cards = t.part.select((F.floor(F.col("p_partkey") / 40)).alias("page_id"), "p_partkey", card.alias("card"))
     pages = cards.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("p_partkey", "card"))).alias("c"))
-    return pages.select("page_id", F.array_join(F.transform("c", lambda x: x["card"]), "\n").alias("html"))
+    return over_cores(t, pages.select("page_id", F.array_join(F.transform("c", lambda x: x["card"]), "\n").alias("html")))
 
 
 @query(
@@ -289,7 +295,7 @@ def detail_pages(t):
         (F.col("p_size") * 1000).cast("string"),
         F.lit("},&quot;vehicle_fuel_type&quot;:&quot;DIESEL&quot;}</script></body></html>"),
     )
-    return t.part.select(F.col("p_partkey").alias("page_id"), html.alias("html"))
+    return over_cores(t, t.part.select(F.col("p_partkey").alias("page_id"), html.alias("html")))
 
 
 @query(
