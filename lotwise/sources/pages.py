@@ -127,8 +127,14 @@ def _within(nodes: Column, node: Column) -> Column:
 
 def visible(nodes: Column) -> Column:
     """Drop scripts, styles and what is inside them."""
-    hidden = F.filter(nodes, lambda n: n["tag"].isin("script", "style", "noscript"))
-    return F.filter(nodes, lambda n: ~F.exists(hidden, lambda h: (n["seq"] >= h["seq"]) & (n["seq"] <= h["last"])))
+
+    def shown(hidden: Column) -> Column:
+        return F.filter(
+            nodes, lambda n: ~F.exists(hidden, lambda h: (n["seq"] >= h["seq"]) & (n["seq"] <= h["last"]))
+        )
+
+    # Bound once: named inside the lambda, the hidden nodes would be looked up for every node.
+    return X.let(F.filter(nodes, lambda n: n["tag"].isin("script", "style", "noscript")), shown)
 
 
 def text_of(nodes: Column, node: Column) -> Column:
@@ -592,11 +598,10 @@ def extract_equipment(nodes: Column, section_name: str = "content-equipments-sec
     """Distinct cleaned paragraphs of the equipment section, at most 100 as the source allows."""
 
     def listed(inside: Column) -> Column:
-        buttons = F.filter(inside, lambda n: n["tag"] == "button")
         paragraphs = F.filter(
             inside,
             lambda p: (p["tag"] == "p")
-            & ~F.exists(buttons, lambda b: (b["seq"] >= p["seq"]) & (b["seq"] <= p["last"])),
+            & ~F.exists(inside, lambda b: (b["tag"] == "button") & (b["seq"] >= p["seq"]) & (b["seq"] <= p["last"])),
         )
         cleaned = F.transform(paragraphs, lambda p: X.clean_allowlisted(text_of(inside, p), 200))
         return F.slice(F.array_distinct(F.array_compact(cleaned)), 1, 100)
@@ -612,9 +617,13 @@ _DESCRIPTION_HEADING = (
 
 def script_text(nodes: Column) -> Column:
     """All script text of a page, unquoted."""
-    scripts = F.filter(nodes, lambda n: n["tag"] == "script")
-    texts = F.filter(nodes, lambda n: (n["tag"] == "#text") & F.exists(scripts, lambda s: n["parent"] == s["seq"]))
-    return unescape_embedded(F.array_join(F.transform(texts, lambda n: n["text"]), "\n"))
+
+    def joined(scripts: Column) -> Column:
+        texts = F.filter(nodes, lambda n: (n["tag"] == "#text") & F.array_contains(scripts, n["parent"]))
+        return F.array_join(F.transform(texts, lambda n: n["text"]), "\n")
+
+    scripts = F.transform(F.filter(nodes, lambda n: n["tag"] == "script"), lambda n: n["seq"])
+    return unescape_embedded(X.let(scripts, joined))
 
 
 def _property(source: Column, names: list[str], value: str) -> Column:
