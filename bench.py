@@ -31,6 +31,7 @@ HEADLINE = [
     "duplicate_pairs",
     "page_text",
     "page_cards",
+    "article_cards",
     "price_changes",
     "lifecycle_state",
     "scan_stop_point",
