@@ -117,9 +117,13 @@ def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Wor
     before[edges[edges < len(data)]] = False
     after[edges[edges > 0] - 1] = False
     starts, ends = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after) + 1
+    return Words(data, starts, ends, span_hashes(data, starts, ends), np.searchsorted(starts, offsets))
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hash of the bytes of each span."""
     sums, down = _sums(data.astype(np.uint64) + np.uint64(1), _BASE)
-    hashes = mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return Words(data, starts, ends, hashes, np.searchsorted(starts, offsets))
+    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 
 def lower_ascii(data: np.ndarray) -> np.ndarray:

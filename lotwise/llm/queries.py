@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, chat, decontaminate, url_filter
+from lotwise.llm import bpe, chat, decontaminate, html_text, language, licenses, near_dups, substring, top_k, url_filter
 from lotwise.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -118,3 +118,75 @@ GROUP BY page_id, u.host, u.path
 def url_rules(spark: SparkSession, folder: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(table(spark, folder, "pages"), rules)
+
+
+@query("op1_language")
+def language_id(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    model = language.train_language_model(docs)
+    found = language.predict_language(docs, model)
+    return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+@query("op9_licenses")
+def license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan_licenses(table(spark, folder, "documents"))
+
+
+_TOP_SQL = r"""
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+s AS (
+  SELECT q.vec_id AS query_id, d.vec_id, list_inner_product(q.x, d.x)::BIGINT AS score
+  FROM v q JOIN v d ON q.vec_id <> d.vec_id AND len(q.x) = len(d.x) WHERE q.vec_id % 100 = 0)
+SELECT query_id, rank, vec_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank FROM s) WHERE rank <= 10
+"""
+
+
+@query("op5_top_k", _TOP_SQL)
+def vector_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    return top_k.exact_top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
+_PAGE_SQL = r"""
+WITH a AS (
+  SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's') AS body FROM pages),
+b AS (
+  SELECT page_id, url, string_split(regexp_replace(regexp_replace(body, '</?(h1|p)>', chr(1), 'g'), '<br>|</?b>', ' ', 'g'), chr(1)) AS blocks FROM a),
+c AS (
+  SELECT page_id, url, list_filter(list_transform(blocks, lambda x: trim(regexp_replace(
+    replace(regexp_replace(regexp_replace(x, '&quot;?', '"', 'g'), '&amp;?', '&', 'g'), chr(160), ' '), '\s+', ' ', 'g'))), lambda x: x <> '') AS blocks FROM b)
+SELECT page_id, url, array_to_string(blocks, chr(10) || chr(10)) AS text, length(array_to_string(blocks, chr(10) || chr(10))) AS n_chars FROM c
+"""
+
+
+@query("op6_html_text", _PAGE_SQL)
+def page_main_text(spark: SparkSession, folder: str) -> DataFrame:
+    return html_text.extract_text(table(spark, folder, "pages"))
+
+
+@query("op8_near_duplicates")
+def near_duplicate_groups(spark: SparkSession, folder: str) -> DataFrame:
+    return near_dups.near_duplicate_classes(table(spark, folder, "documents"))
+
+
+_REPEAT_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, i, array_to_string(w[i : i + 19], ' ') AS s
+  FROM (SELECT *, unnest(range(1, len(w) - 18)) AS i FROM d WHERE len(w) >= 20)),
+r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS place FROM s),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 20)) AS k FROM r WHERE place > 1),
+gone AS (SELECT doc_id, list(k) AS ks, count(*) AS n FROM g GROUP BY doc_id)
+SELECT d.doc_id, len(w) AS n_words, coalesce(n, 0) AS n_removed,
+  sha256(array_to_string(CASE WHEN n IS NULL THEN w
+    ELSE list_filter(w, lambda x, i: NOT list_contains(ks, i)) END, ' ')) AS kept_sha256
+FROM d LEFT JOIN gone USING (doc_id)
+"""
+
+
+@query("op2_substring_dedup", _REPEAT_SQL)
+def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return substring.remove_repeats(table(spark, folder, "documents"))
