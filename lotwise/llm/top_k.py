@@ -74,7 +74,7 @@ class DualSearch:
         self.whole = biggest < _EXACT
         self.data, self.ids, self.queries, self.k = data, ids, queries, k
         self.real_data, self.real_queries = data.astype(np.float64), queries.astype(np.float64)
-        self.score = np.full((len(queries), k), np.iinfo(np.int64).min, np.int64)
+        self.score = np.full((len(queries), k), -np.iinfo(np.int64).max, np.int64)
         self.found = np.full((len(queries), k), np.iinfo(np.int64).max, np.int64)
         self.floor = floor.astype(np.float64)  # no score under this can be among the k best
         self.tree, self.asked = CoverTree(self.real_data), CoverTree(self.real_queries)
