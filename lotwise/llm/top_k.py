@@ -126,7 +126,7 @@ class DualSearch:
 
 def _matrix(table: pa.Table, column: str = "x") -> np.ndarray:
     flat = table.column(column).combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(np.int64).reshape(table.num_rows, -1)
+    return flat.astype(np.int64).reshape(table.num_rows, len(flat) // table.num_rows)
 
 
 def _search(k: int):
@@ -173,7 +173,7 @@ def _pivots(rows: DataFrame) -> dict[int, np.ndarray]:
     """Cells by farthest-first choice from a bounded sample; each length of vector has its own."""
     sample = rows.select("x").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).collect()
     out = {}
-    for length in {len(r["x"]) for r in sample}:
+    for length in {len(r["x"]) for r in sample} - {0}:
         points = np.unique(np.array([r["x"] for r in sample if len(r["x"]) == length], np.float64).reshape(-1, length), axis=0)
         chosen = [points[0]]
         gap = np.sqrt(((points - chosen[0]) ** 2).sum(axis=1))
