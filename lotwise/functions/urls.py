@@ -43,16 +43,17 @@ def canonical_url(url: Column, host: str, path: str, build: str | None = None, b
     return F.when(F.coalesce(ok, F.lit(False)), F.struct(ident.alias("id"), target.alias("url")))
 
 
-def safe_image_url(url: Column, host: str, maximum: int = 4096) -> Column:
+def safe_image_url(url: Column, host: str, maximum: int | None = None) -> Column:
     """HTTPS image URL on an allowed host, without query and fragment."""
     name, where = _part(url, "HOST"), _part(url, "PATH")
     ok = (
-        (F.length(url) <= maximum)
-        & (_part(url, "PROTOCOL") == "https")
+        (_part(url, "PROTOCOL") == "https")
         & F.lower(name).rlike(host)
         & _part(url, "USERINFO").isNull()
         & ~_part(url, "AUTHORITY").rlike(r":[0-9]+$")
     )
+    if maximum is not None:
+        ok = ok & (F.length(url) <= maximum)
     return F.when(F.coalesce(ok, F.lit(False)), F.concat(F.lit("https://"), F.lower(name), where))
 
 
@@ -65,4 +66,4 @@ def safe_page_path(url: Column) -> Column:
     parts = F.filter(F.split(where, "/"), lambda p: p != "")
     shown = F.transform(parts, lambda p: F.when(F.array_contains(keep, F.lower(p)), p).otherwise(F.lit(":redacted")))
     joined = F.concat(F.lit("/"), F.array_join(shown, "/"), F.when(F.size(shown) > 0, F.lit("/")).otherwise(F.lit("")))
-    return F.coalesce(F.substring(joined, 1, 500), F.lit("unknown"))
+    return F.coalesce(joined, F.lit("unknown"))

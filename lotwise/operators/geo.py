@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.geo import approximate_km, distance_label
 from lotwise.functions.text import locality_key
-from lotwise.session import small_side
 
 # Centroids of localities.
 CENTROIDS = {
@@ -42,7 +41,7 @@ def geocode_join(df: DataFrame, places: DataFrame, origin: str, listing: str, mo
     ``places``: locality, latitude, longitude; null coordinates are a known miss. Unknown
     distances keep their reason and never exclude a listing.
     """
-    known = small_side(places.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull()))
+    known = places.filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
     df = df.withColumns({"origin_key": locality_key(F.col(origin)), "listing_key": locality_key(F.col(listing))})
     o = known.select(F.col("locality").alias("origin_key"), F.col("latitude").alias("_olat"), F.col("longitude").alias("_olon"))
     l = known.select(F.col("locality").alias("listing_key"), F.col("latitude").alias("_llat"), F.col("longitude").alias("_llon"))

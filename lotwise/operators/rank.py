@@ -7,12 +7,14 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.session import ensure_checkpoint_dir
+
 INBOX_SIZE = 250
 
 
 def text_query(query: str, *columns: str) -> Column:
     """Case-insensitive literal search in any of the columns."""
-    needle = query.strip()[:100].lower()
+    needle = query.strip().lower()
     return reduce(
         lambda a, b: a | b, [F.coalesce(F.contains(F.lower(F.col(c)), F.lit(needle)), F.lit(False)) for c in columns]
     )
@@ -169,14 +171,21 @@ def search_order(searches: DataFrame) -> DataFrame:
     return searches.orderBy("priority", "created_at", "search_id")
 
 
-def renumber_priorities(searches: DataFrame, order: list[str], size_limit: int = 1_000) -> DataFrame:
-    """Dense new priorities of the whole set in the given order.
+def renumber_priorities(searches: DataFrame, order: list[str], ident: str = "search_id") -> DataFrame:
+    """Dense new priorities of the whole set in the given order, ties by ``ident``.
 
-    Priorities only reach 1000, so the set is small by rule; a larger one is an error.
+    Rows are dealt out by ranges of the order; each range starts where the ones before it end.
     """
-    if searches.limit(size_limit + 1).count() > size_limit:
-        raise ValueError("priorities reach from 1 to 1000")
-    return searches.withColumn("priority", F.row_number().over(Window.orderBy(*order)))
+    order = [*order, *[ident] * (ident not in order)]
+    dealt = searches.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
+    ensure_checkpoint_dir(searches.sparkSession)
+    # Written, so that the ranges stay what they are when a task runs again.
+    dealt = dealt.checkpoint()
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(starts, "_range").withColumn("priority", (inside + F.col("_before")).cast("int")).drop("_range", "_before")
 
 
 def rank_members(df: DataFrame, group: list[str], order: list) -> DataFrame:

@@ -4,11 +4,8 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
-# A side is offered for broadcast only when it is counted and found this small.
-BROADCAST_ROW_LIMIT = 100_000
 
 
 def get_spark(app: str = "lotwise", cores: str = "*", **conf: str) -> SparkSession:
@@ -46,9 +43,3 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
             raise ValueError("set spark.checkpoint.dir to a folder every executor can reach")
         shared = tempfile.mkdtemp(prefix="run-")
     context.setCheckpointDir(shared)
-
-
-def small_side(df: DataFrame, limit: int = BROADCAST_ROW_LIMIT) -> DataFrame:
-    """Hint a broadcast when ``df`` is counted and small; otherwise leave the join to AQE."""
-    counted = df.limit(limit + 1).count()
-    return F.broadcast(df) if counted <= limit else df

@@ -430,7 +430,6 @@ def extract_articles(nodes: DataFrame, rules: CardRules = CardRules(), key: str
         text = text_of(n, found)
         ok = (
             (text != "")
-            & (F.length(text) <= 500)
             & ~text.rlike(r"(?iu)https?://|www\.")
             & ~X.contains_contact_data(text)
         )
@@ -595,7 +594,7 @@ def extract_labelled_pairs(nodes: DataFrame, section_name: str = "combined-detai
 
 
 def extract_equipment(nodes: Column, section_name: str = "content-equipments-section") -> Column:
-    """Distinct cleaned paragraphs of the equipment section, at most 100 as the source allows."""
+    """Distinct cleaned paragraphs of the equipment section."""
 
     def listed(inside: Column) -> Column:
         paragraphs = F.filter(
@@ -604,7 +603,7 @@ def extract_equipment(nodes: Column, section_name: str = "content-equipments-sec
             & ~F.exists(inside, lambda b: (b["tag"] == "button") & (b["seq"] >= p["seq"]) & (b["seq"] <= p["last"])),
         )
         cleaned = F.transform(paragraphs, lambda p: X.clean_allowlisted(text_of(inside, p), 200))
-        return F.slice(F.array_distinct(F.array_compact(cleaned)), 1, 100)
+        return F.array_distinct(F.array_compact(cleaned))
 
     return X.let(X.let(visible(nodes), lambda v: section(v, section_name)), listed)
 
@@ -718,14 +717,14 @@ def _descriptions(nodes: Column, v: Column) -> Column:
 
 
 def extract_detail_description(nodes: Column) -> Column:
-    """Longest candidate, when it is short enough and free of contact data."""
+    """Longest candidate, when it is free of contact data."""
     longest = F.aggregate(
         description_candidates(nodes),
         F.lit("").cast("string"),
         lambda best, t: F.when(F.length(t) > F.length(best), t).otherwise(best),
     )
     return X.let(
-        longest, lambda t: F.when((t != "") & (F.length(t) <= 20_000) & ~X.contains_contact_data(t), t)
+        longest, lambda t: F.when((t != "") & ~X.contains_contact_data(t), t)
     )
 
 
@@ -735,23 +734,25 @@ SAFE_TAGS = {
     "h1", "h2", "h3", "h4", "p", "ul", "ol", "li", "button", "header", "footer", "nav",
 }
 OMITTED_TAGS = {"script", "style", "svg", "form", "input", "textarea", "meta", "link"}
-MAX_DEPTH = 50
-MAX_NODES = 20_000
 
 
 class _Skeleton(HTMLParser):
     """Markup without text: allowed elements with a few allowed attributes."""
 
-    def __init__(self, item_path: str) -> None:
+    def __init__(self, item_path: str, depth: int | None = None, nodes: int | None = None) -> None:
         super().__init__(convert_charrefs=True)
         self.item_path = re.compile(item_path)
         self.out: list[str] = []
         self.open: list[tuple[str, bool]] = []
-        self.left = MAX_NODES
+        self.depth, self.left = depth, nodes
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        hidden = bool(self.open and self.open[-1][1]) or tag in OMITTED_TAGS or len(self.open) > MAX_DEPTH or self.left <= 0
-        self.left -= 1
+        hidden = bool(self.open and self.open[-1][1]) or tag in OMITTED_TAGS
+        if self.depth is not None:
+            hidden = hidden or len(self.open) > self.depth
+        if self.left is not None:
+            hidden = hidden or self.left <= 0
+            self.left -= 1
         if not hidden and tag in SAFE_TAGS:
             kept = []
             for key, value in attrs:
@@ -775,8 +776,13 @@ class _Skeleton(HTMLParser):
                 return
 
 
-def structural_sanitize(pages: DataFrame, kind: str, detail: str, item_path: str, key: str = "page_id") -> DataFrame:
-    """Text-free skeleton of each page under a header with its failure kind and redacted path."""
+def structural_sanitize(
+    pages: DataFrame, kind: str, detail: str, item_path: str, key: str = "page_id", depth: int | None = None, nodes: int | None = None
+) -> DataFrame:
+    """Text-free skeleton of each page under a header with its failure kind and redacted path.
+
+    ``depth`` and ``nodes`` cut what lies deeper or comes later, if given.
+    """
     source = pages.select(key, "html", safe_page_path(F.col("url")).alias("path"))
     key_type = source.schema[key].dataType.simpleString()
 
@@ -784,7 +790,7 @@ def structural_sanitize(pages: DataFrame, kind: str, detail: str, item_path: str
         for batch in batches:
             rows = []
             for html, path in zip(batch["html"], batch["path"]):
-                reader = _Skeleton(item_path)
+                reader = _Skeleton(item_path, depth, nodes)
                 reader.feed(html or "")
                 reader.close()
                 for name, hidden in reversed(reader.open):

@@ -14,16 +14,6 @@ def read_table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("timestamp") for c in plain}) if plain else df
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over all cores when the table has fewer files than there are cores.
-
-    One small file is one row group and so one task; costly work per row then leaves the other
-    cores idle. Tables of many files are left as they are.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
-
-
 def scan_table(df: DataFrame, columns: list[str], order: list[str], where: Column | None = None) -> DataFrame:
     """Columns of a table in key order; ``where`` makes it a lookup."""
     kept = df if where is None else df.filter(where)

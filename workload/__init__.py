@@ -34,12 +34,15 @@ class Tables:
         self.spark, self.folder = prepare(spark), folder
 
     def __getattr__(self, name: str) -> DataFrame:
-        from lotwise.sources.tables import read_table, spread
+        from lotwise.sources.tables import read_table
 
         if name.startswith("_"):
             raise AttributeError(name)
         df = read_table(self.spark, self.folder, name)
-        return spread(df) if name in ("documents", "pages", "conversations") else df
+        if name in ("documents", "pages", "conversations") and self.spark.sparkContext.master.startswith("local"):
+            # On one machine these tables are one file, and so one task; a cluster's files are many.
+            return df.repartition(self.spark.sparkContext.defaultParallelism)
+        return df
 
 
 def load() -> None:

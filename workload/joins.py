@@ -38,13 +38,13 @@ def scores_cohorts(t):
 
 @query(
     "group_members",
-    "SELECT p_brand AS group_id, p_partkey AS listing_id, p_name AS title, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS rank FROM part WHERE p_size < 10",
+    "SELECT p_brand AS group_id, p_partkey AS listing_id, p_name AS title, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) - 1 AS rank FROM part",
 )
 def group_members(t):
     """Members of groups with their listings and ordinals."""
     from lotwise.operators.rank import rank_members
 
-    members = t.part.filter("p_size < 10").select(F.col("p_brand").alias("group_id"), F.col("p_partkey").alias("listing_id"))
+    members = t.part.select(F.col("p_brand").alias("group_id"), F.col("p_partkey").alias("listing_id"))
     titles = t.part.select(F.col("p_partkey").alias("listing_id"), F.col("p_name").alias("title"))
     ranked = rank_members(members.join(titles, "listing_id"), ["group_id"], ["listing_id"])
     return ranked.select("group_id", "listing_id", "title", F.col("rank").cast("bigint").alias("rank"))
@@ -278,12 +278,12 @@ def proposals(t):
 
 @query(
     "approved_rules",
-    "SELECT p_partkey AS id, p_brand AS source_value FROM part WHERE p_size % 3 = 0 ORDER BY p_size, p_partkey LIMIT 50",
+    "SELECT p_partkey AS id, p_brand AS source_value FROM part WHERE p_size % 3 = 0",
 )
 def approved(t):
-    """First fifty approved rules in order of decision."""
+    """Approved rules in order of decision."""
     df = t.part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("source_value"), F.col("p_size").alias("decided_at"), F.when(F.col("p_size") % 3 == 0, F.lit("approved")).otherwise(F.lit("pending")).alias("status"))
-    return O.approved_rules(df).limit(50).select("id", "source_value")
+    return O.approved_rules(df).select("id", "source_value")
 
 
 def _sources(t):
@@ -432,11 +432,11 @@ def detail_document(t):
     )
 
 
-@query("history_sorted", f"SELECT user_id, count(*) AS events, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id)) AS digest FROM events WHERE event_type = 'purchase' GROUP BY user_id")
+@query("history_sorted", f"SELECT user_id, count(*) AS events, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id)) AS digest FROM events GROUP BY user_id")
 def history_sorted(t):
     """Events of each listing in time order."""
     from lotwise.operators.history import history_document
 
-    doc = history_document(t.events.filter("event_type = 'purchase'"), "user_id", ["ts", "event_id"], ["value"], "events")
+    doc = history_document(t.events, "user_id", ["ts", "event_id"], ["value"], "events")
     ids = F.array_join(F.transform("events", lambda e: e["event_id"].cast("string")), ",")
     return doc.select("user_id", F.size("events").cast("bigint").alias("events"), F.sha2(ids, 256).alias("digest"))

@@ -58,20 +58,20 @@ def safe_paths(t):
     return t.pages.select("page_id", safe_page_path(F.col("url")).alias("path"))
 
 
-_KIND = {
-    "checkpoint": "text LIKE '%security checkpoint%'",
-    "rate_limited": "text LIKE '%too many requests%' OR text LIKE '%try again later%'",
-}
+def _page_choice(part: int) -> str:
+    """The page rules as one SQL choice that the text and the url decide."""
+    cases = []
+    for rule in P.PAGE_RULES:
+        hits = [f"contains(url, '{x}')" for x in rule[2]] + ["contains(body, '{}')".format(x.replace("'", "''")) for x in rule[3]]
+        cases.append(f"WHEN {' OR '.join(hits)} THEN '{rule[part]}'")
+    return f"CASE {' '.join(cases)} END"
 
 
 @query(
     "page_class",
     f"""WITH b AS (SELECT page_id, lower(url) AS url, lower({_TEXT_SQL}) || CASE page_id % 9 WHEN 0 THEN ' security checkpoint' WHEN 1 THEN ' log in to facebook' WHEN 2 THEN ' too many requests'
         WHEN 3 THEN ' no listings found' WHEN 4 THEN ' something went wrong' WHEN 5 THEN ' cookies on facebook' WHEN 6 THEN ' marketplace is not available to you' ELSE '' END AS body FROM pages)
-    SELECT page_id, CASE page_id % 9 WHEN 0 THEN 'checkpoint' WHEN 1 THEN 'login_required' WHEN 2 THEN 'rate_limited' WHEN 3 THEN 'empty_results' WHEN 4 THEN 'partial_load'
-      WHEN 5 THEN 'consent_required' WHEN 6 THEN 'marketplace_restricted' END AS kind,
-      CASE page_id % 9 WHEN 0 THEN 'browser' WHEN 1 THEN 'browser' WHEN 2 THEN 'source' WHEN 3 THEN 'search' WHEN 4 THEN 'search' WHEN 5 THEN 'browser' WHEN 6 THEN 'browser' END AS scope
-    FROM b WHERE length(body) > 0""",
+    SELECT page_id, {_page_choice(0)} AS kind, {_page_choice(1)} AS scope FROM b""",
 )
 def page_class(t):
     """Kind of failure of each page."""
@@ -107,6 +107,9 @@ _FORBIDDEN = [
     ("session data", "(?i)\\b(cookie|access_token|session_key|fb_dtsg)\\b"),
     ("email address", "(?i)\\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\\.[A-Z]{2,}\\b"),
     ("contact or profile link", "(?i)(tel:|mailto:|/profile\\.php|/people/)"),
+    ("Portuguese phone number", "(?:\\+351\\s*)?(?:2[0-9]{8}|9[0-9]{8})\\b"),
+    ("pending manual review", "(?i)reviewed:\\s*pending"),
+    ("unreviewed inferred field", "REVIEW REQUIRED"),
 ]
 
 
@@ -119,9 +122,7 @@ _FORBIDDEN = [
 def privacy_audit(t):
     """Forbidden content and unapproved links of pages."""
     out = P.privacy_audit(t.pages, approved=[r"^https://[a-z.]*example\.com/"])
-    names = [n for n, _ in _FORBIDDEN]
-    shown = F.filter("findings", lambda f: f.isin(*names))
-    return out.select("page_id", F.array_join(shown, ",").alias("findings"), F.size("unapproved_links").cast("bigint").alias("links"))
+    return out.select("page_id", F.array_join("findings", ",").alias("findings"), F.size("unapproved_links").cast("bigint").alias("links"))
 
 
 @query(

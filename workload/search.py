@@ -282,16 +282,16 @@ def tidy_searches(t):
 
 @query(
     "model_batch",
-    """WITH targets AS (SELECT p_size AS batch_id, p_partkey AS position, p_brand AS make, p_type AS model, split_part(p_name, ' ', 1) AS variant,
-        CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 100 END AS budget FROM part WHERE p_type = 'LARGE'),
-      bad AS (SELECT batch_id FROM (SELECT batch_id, make, model, variant, count(*) AS n FROM targets GROUP BY ALL) GROUP BY batch_id HAVING max(n) > 1 OR sum(n) > 20)
+    """WITH targets AS (SELECT p_partkey // 10 AS batch_id, p_partkey AS position, p_brand AS make, p_type AS model, split_part(p_name, ' ', 1) AS variant,
+        CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 100 END AS budget FROM part),
+      bad AS (SELECT batch_id FROM (SELECT batch_id, make, model, variant, count(*) AS n FROM targets GROUP BY ALL) GROUP BY batch_id HAVING max(n) > 1)
     SELECT batch_id, position, regexp_replace(lower(make), '[^a-z0-9]', '', 'g') || ':' || lower(model) || ':' || lower(variant) AS target_key,
-      coalesce(budget, batch_id * 1000) AS budget FROM targets WHERE batch_id NOT IN (SELECT batch_id FROM bad)""",
+      coalesce(budget, batch_id * 1000) AS budget, CASE WHEN batch_id IN (SELECT batch_id FROM bad) THEN 'doubled target' END AS rejected FROM targets""",
 )
 def batches(t):
     """One search per model target; batches with a doubled target are rejected whole."""
-    targets = t.part.filter("p_type = 'LARGE'").selectExpr(
-        "p_size AS batch_id",
+    targets = t.part.selectExpr(
+        "CAST(floor(p_partkey / 10) AS BIGINT) AS batch_id",
         "p_partkey AS position",
         "p_brand AS make",
         "p_type AS model",
@@ -299,7 +299,7 @@ def batches(t):
         "CASE WHEN p_partkey % 3 = 0 THEN p_partkey % 100 END AS budget",
     )
     shared = targets.select("batch_id").distinct().withColumn("budget", (F.col("batch_id") * 1000).cast("bigint"))
-    return model_batch(shared, targets).select("batch_id", "position", "target_key", "budget")
+    return model_batch(shared, targets).select("batch_id", "position", "target_key", "budget", "rejected")
 
 
 @query(

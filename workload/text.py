@@ -96,7 +96,7 @@ def doc_near_duplicates(t):
 @query(
     "doc_copy_classes",
     f"""WITH k AS (SELECT doc_id, {_TOKENS} AS tokens FROM documents)
-    SELECT min(doc_id) AS class_id, count(*) AS copies, CAST(len(tokens) AS INT) AS tokens FROM k WHERE len(tokens) >= 5 GROUP BY k.tokens""",
+    SELECT min(doc_id) AS class_id, count(*) AS copies, CAST(len(tokens) AS INT) AS tokens FROM k GROUP BY k.tokens""",
 )
 def doc_copy_classes(t):
     """Documents with equal tokens."""
