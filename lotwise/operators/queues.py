@@ -106,3 +106,74 @@ def retry_at(failure: Column, completed_at: Column) -> Column:
     delays = F.create_map(*[F.lit(v) for pair in RETRY_SECONDS.items() for v in pair])
     seconds = F.try_element_at(delays, failure)
     return F.timestamp_micros(F.unix_micros(completed_at) + seconds * 1_000_000)
+
+
+_QUEUE_ITEM = (
+    "struct<state:string,version:bigint,requested_at:timestamp,available_at:timestamp,started_at:timestamp,completed_at:timestamp,"
+    "attempts:bigint,last_error_code:string,claimed:bigint,excluded:boolean>"
+)
+
+
+def enrichment_queue(log: DataFrame) -> DataFrame:
+    """State of each listing's work from its log, folded in order of time.
+
+    ``log``: listing_id, at, seq, kind, version (of the facts asked about), failure. Kinds:
+    ``enqueue`` asks for a version (the same one again changes nothing, unless it was cancelled; a
+    newer one waits for running work), ``claim`` starts waiting work that is due, ``success`` and
+    ``failure`` end it (for an older version than the one asked for, the work waits again),
+    ``exclude`` cancels unfinished work and holds until ``include``. A listing never asked about has
+    no row. A listing's log meets in one row, as each step needs the one before.
+    """
+    steps = log.groupBy("listing_id").agg(F.sort_array(F.collect_list(F.struct("at", "seq", "kind", "version", "failure"))).alias("steps"))
+
+    def step(s: Column, e: Column) -> Column:
+        kind, fresh = e["kind"], s["state"].isNull()
+        same = s["version"].eqNullSafe(e["version"]) & ~fresh
+        kept = same & (s["state"] != "cancelled")
+        running_, current = s["state"] == "processing", s["version"].eqNullSafe(s["claimed"])
+        due = (s["state"] == "queued") & (s["available_at"] <= e["at"])
+        again = retry_at(e["failure"], e["at"])
+        none = F.lit(None)
+
+        def item(**changed: Column) -> Column:
+            names = [part.split(":")[0] for part in _QUEUE_ITEM[7:-1].split(",")]
+            return F.struct(*[changed.get(n, s[n]).alias(n) for n in names]).cast(_QUEUE_ITEM)
+
+        asked = item(
+            state=F.when(fresh, F.lit("queued")).when(kept, s["state"]).when(~same & running_, s["state"]).otherwise(F.lit("queued")),
+            version=e["version"],
+            requested_at=F.when(kept, s["requested_at"]).otherwise(e["at"]),
+            available_at=F.when(kept, s["available_at"]).otherwise(e["at"]),
+            completed_at=F.when(kept, s["completed_at"]),
+            last_error_code=F.when(kept, s["last_error_code"]),
+            attempts=F.coalesce(s["attempts"], F.lit(0)),
+        )
+        claimed = item(state=F.lit("processing"), started_at=e["at"], attempts=s["attempts"] + 1, claimed=s["version"])
+        done = item(
+            state=F.when(current, F.lit("completed")).otherwise(F.lit("queued")),
+            available_at=e["at"], started_at=none, completed_at=F.when(current, e["at"]), last_error_code=none,
+        )
+        failed = item(
+            state=F.when(current & again.isNull(), F.lit("failed")).otherwise(F.lit("queued")),
+            available_at=F.when(current, F.coalesce(again, e["at"])).otherwise(e["at"]),
+            started_at=none, completed_at=none, last_error_code=e["failure"],
+        )
+        open_ = s["state"].isin("queued", "processing", "failed")
+        out = F.when(
+            open_, item(state=F.lit("cancelled"), started_at=none, completed_at=none, last_error_code=F.lit("excluded_by_classifier"), excluded=F.lit(True))
+        ).otherwise(item(excluded=F.lit(True)))
+        return (
+            F.when((kind == "enqueue") & ~s["excluded"], asked)
+            .when((kind == "claim") & due, claimed)
+            .when((kind == "success") & running_, done)
+            .when((kind == "failure") & running_, failed)
+            .when(kind == "exclude", out)
+            .when(kind == "include", item(excluded=F.lit(False)))
+            .otherwise(s)
+        )
+
+    zero = F.struct(
+        *[F.lit(False if part.startswith("excluded") else None).alias(part.split(":")[0]) for part in _QUEUE_ITEM[7:-1].split(",")]
+    ).cast(_QUEUE_ITEM)
+    folded = steps.select("listing_id", F.aggregate("steps", zero, step).alias("q")).filter(F.col("q.state").isNotNull())
+    return folded.select("listing_id", "q.*").drop("claimed", "excluded")

@@ -616,3 +616,56 @@ def replay_dedupe(t):
     )
     run.awaitTermination()
     return t.spark.read.schema(t.events.schema).parquet(f"{root}/out").select("event_id", "user_id", "event_type", "value")
+
+
+_QUEUE_LOG = """steps AS (SELECT CAST(user_id * 100 + day(ts) AS BIGINT) AS listing_id, ts AS tm, event_id AS seq,
+    CASE WHEN event_id % 40 = 0 THEN 'exclude' WHEN event_id % 40 = 1 THEN 'include' WHEN event_type = 'signup' OR event_id % 7 = 0 THEN 'enqueue'
+      WHEN event_type = 'view' OR event_type = 'click' THEN 'claim' WHEN event_type = 'purchase' THEN 'success' ELSE 'failure' END AS kind,
+    CAST(floor(value / 40) AS BIGINT) AS version,
+    CASE event_id % 4 WHEN 0 THEN 'rate_limited' WHEN 1 THEN 'timeout' WHEN 2 THEN 'upstream_failure' ELSE 'invalid_response' END AS failure FROM events)"""
+
+
+@query(
+    "enrichment_queue_state",
+    "WITH RECURSIVE " + _QUEUE_LOG + f""", e AS (SELECT *, row_number() OVER (PARTITION BY listing_id ORDER BY tm, seq) AS n FROM steps),
+    q AS (
+      SELECT DISTINCT listing_id, CAST(0 AS BIGINT) AS n, CAST(NULL AS VARCHAR) AS state, CAST(NULL AS BIGINT) AS version, CAST(NULL AS TIMESTAMP) AS requested_at, CAST(NULL AS TIMESTAMP) AS available_at,
+        CAST(NULL AS TIMESTAMP) AS started_at, CAST(NULL AS TIMESTAMP) AS completed_at, CAST(0 AS BIGINT) AS attempts, CAST(NULL AS VARCHAR) AS code, CAST(NULL AS BIGINT) AS claimed, false AS excluded FROM steps
+      UNION ALL
+      SELECT listing_id, n,
+        CASE act WHEN 'ask' THEN CASE WHEN state IS NULL THEN 'queued' WHEN same AND state <> 'cancelled' THEN state WHEN NOT same AND state = 'processing' THEN state ELSE 'queued' END
+          WHEN 'claim' THEN 'processing' WHEN 'done' THEN CASE WHEN cur THEN 'completed' ELSE 'queued' END
+          WHEN 'fail' THEN CASE WHEN cur AND failure = 'invalid_response' THEN 'failed' ELSE 'queued' END WHEN 'cancel' THEN 'cancelled' ELSE state END,
+        CASE act WHEN 'ask' THEN e_version ELSE version END,
+        CASE WHEN act = 'ask' AND NOT (same AND state <> 'cancelled') THEN tm ELSE requested_at END,
+        CASE WHEN act = 'ask' AND NOT (same AND state <> 'cancelled') THEN tm WHEN act = 'done' THEN tm
+          WHEN act = 'fail' THEN CASE WHEN cur THEN tm + to_seconds(CASE failure WHEN 'rate_limited' THEN 60 WHEN 'timeout' THEN 15 WHEN 'upstream_failure' THEN 30 ELSE 0 END) ELSE tm END ELSE available_at END,
+        CASE WHEN act = 'claim' THEN tm WHEN act IN ('done', 'fail', 'cancel') THEN NULL ELSE started_at END,
+        CASE WHEN act = 'ask' AND NOT (same AND state <> 'cancelled') THEN NULL WHEN act = 'done' AND cur THEN tm WHEN act IN ('done', 'fail', 'cancel') THEN NULL ELSE completed_at END,
+        CASE WHEN act = 'claim' THEN attempts + 1 ELSE attempts END,
+        CASE WHEN act = 'ask' AND NOT (same AND state <> 'cancelled') THEN NULL WHEN act = 'done' THEN NULL WHEN act = 'fail' THEN failure WHEN act = 'cancel' THEN 'excluded_by_classifier' ELSE code END,
+        CASE WHEN act = 'claim' THEN version ELSE claimed END,
+        CASE kind WHEN 'exclude' THEN true WHEN 'include' THEN false ELSE excluded END
+      FROM (SELECT q.*, e.n AS en, e.tm, e.kind, e.failure, e.version AS e_version, state IS NOT NULL AND q.version IS NOT DISTINCT FROM e.version AS same, q.version IS NOT DISTINCT FROM claimed AS cur,
+          CASE WHEN kind = 'enqueue' AND NOT excluded THEN 'ask' WHEN kind = 'claim' AND state = 'queued' AND available_at <= e.tm THEN 'claim' WHEN kind = 'success' AND state = 'processing' THEN 'done'
+            WHEN kind = 'failure' AND state = 'processing' THEN 'fail' WHEN kind = 'exclude' AND state IN ('queued', 'processing', 'failed') THEN 'cancel' END AS act
+        FROM q JOIN e ON e.listing_id = q.listing_id AND e.n = q.n + 1) AS s(listing_id, old_n, state, version, requested_at, available_at, started_at, completed_at, attempts, code, claimed, excluded, n, tm, kind, failure, e_version, same, cur, act)
+    )
+    SELECT listing_id, arg_max(state, n) AS state, arg_max(coalesce(version, -1), n) AS version, {sql_ts("arg_max(requested_at, n)")} AS requested_at, {sql_ts("arg_max(available_at, n)")} AS available_at,
+      arg_max(attempts, n) AS attempts, arg_max(coalesce(code, ''), n) AS last_error_code FROM q GROUP BY listing_id HAVING arg_max(coalesce(state, ''), n) <> ''""",
+)
+def enrichment_queue_state(t):
+    """Work state of each listing after its whole log of requests, claims, results and exclusions."""
+    e, n = F.col("event_type"), F.col("event_id")
+    kind = (
+        F.when(n % 40 == 0, F.lit("exclude")).when(n % 40 == 1, F.lit("include")).when((e == "signup") | (n % 7 == 0), F.lit("enqueue"))
+        .when(e.isin("view", "click"), F.lit("claim")).when(e == "purchase", F.lit("success")).otherwise(F.lit("failure"))
+    )
+    failure = F.when(n % 4 == 0, F.lit("rate_limited")).when(n % 4 == 1, F.lit("timeout")).when(n % 4 == 2, F.lit("upstream_failure")).otherwise(F.lit("invalid_response"))
+    log = t.events.select(
+        (F.col("user_id") * 100 + F.dayofmonth("ts")).alias("listing_id"), F.col("ts").alias("at"), F.col("event_id").alias("seq"), kind.alias("kind"),
+        F.floor(F.col("value") / 40).cast("bigint").alias("version"), failure.alias("failure"),
+    )
+    return Q.enrichment_queue(log).select(
+        "listing_id", "state", F.coalesce("version", F.lit(-1)).alias("version"), ts("requested_at"), ts("available_at"), "attempts", F.coalesce("last_error_code", F.lit("")).alias("last_error_code")
+    )
