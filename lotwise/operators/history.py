@@ -44,8 +44,11 @@ def price_changes(
     """One row per change point: previous price, direction, difference, threshold, meaningful.
 
     ``order`` is the order of arrival (event time by default). A row that arrives with an older
-    time than one before it changes nothing. The first known price opens the history.
+    time than one before it changes nothing. The first known price opens the history. ``chunk`` cuts
+    that order into runs (see ``running``) and is required with it.
     """
+    if order is not None and order != [at] and chunk is None:
+        raise ValueError("an order of arrival needs a chunk that does not decrease along it")
     order = order or [at]
     chunk = day_of(at) if chunk is None else chunk
     if order != [at]:

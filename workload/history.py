@@ -669,3 +669,38 @@ def enrichment_queue_state(t):
     return Q.enrichment_queue(log).select(
         "listing_id", "state", F.coalesce("version", F.lit(-1)).alias("version"), ts("requested_at"), ts("available_at"), "attempts", F.coalesce("last_error_code", F.lit("")).alias("last_error_code")
     )
+
+
+_PAUSES = """pauses AS (SELECT CASE user_id % 3 WHEN 0 THEN 'browser' WHEN 1 THEN 'source' ELSE 'search' END AS scope,
+    CASE user_id % 3 WHEN 0 THEN 'b' WHEN 1 THEN 'src' || user_id % 5 ELSE CAST(user_id AS VARCHAR) END AS scope_key,
+    arg_max(event_type <> 'purchase', (ts, event_id)) AS paused FROM events WHERE user_id % 3 <> 0 GROUP BY ALL)"""
+
+
+@query(
+    "blocked_searches",
+    "WITH " + _PAUSES + """ SELECT c_custkey AS search_id, 'src' || c_nationkey % 5 AS source, 'b' AS browser FROM customer
+      WHERE EXISTS (SELECT 1 FROM pauses WHERE paused AND (scope = 'source' AND scope_key = 'src' || c_nationkey % 5 OR scope = 'search' AND scope_key = CAST(c_custkey AS VARCHAR)))""",
+)
+def blocked(t):
+    """Searches under an active pause of their source or of their own."""
+    log = t.events.filter("user_id % 3 <> 0").select(
+        F.when(F.col("user_id") % 3 == 1, F.lit("source")).otherwise(F.lit("search")).alias("scope"),
+        F.when(F.col("user_id") % 3 == 1, F.concat(F.lit("src"), (F.col("user_id") % 5).cast("string"))).otherwise(F.col("user_id").cast("string")).alias("scope_key"),
+        F.col("ts").alias("at"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == "purchase", F.lit("resolve")).otherwise(F.lit("pause")).alias("kind"),
+        F.lit("rate_limited").alias("failure_kind"), F.lit("").alias("detail"),
+    )
+    searches = t.customer.select(F.col("c_custkey").alias("search_id"), F.concat(F.lit("src"), (F.col("c_nationkey") % 5).cast("string")).alias("source"), F.lit("b").alias("browser"))
+    return S.blocked_searches(searches, S.pause_state(log))
+
+
+@query(
+    "late_observations",
+    f"""WITH a AS (SELECT user_id, event_id, ts, CAST(floor(value) AS BIGINT) AS price, max(ts) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS top FROM events),
+    k AS (SELECT *, lag(price) OVER (PARTITION BY user_id ORDER BY event_id) AS previous FROM a WHERE top IS NULL OR ts >= top)
+    SELECT user_id, event_id, {sql_ts("ts")} AS at, price, previous AS previous_price FROM k WHERE previous IS NULL OR previous <> price""",
+)
+def late_observations(t):
+    """Price changes in order of arrival: a row older than one before it changes nothing."""
+    rows = t.events.select("user_id", "event_id", "ts", F.floor("value").cast("bigint").alias("price"))
+    changes = H.price_changes(rows, ["user_id"], "ts", "price", ["event_id"], F.floor(F.col("event_id") / 4096))
+    return changes.select("user_id", "event_id", ts("ts").alias("at"), "price", "previous_price")

@@ -372,3 +372,50 @@ def counts(t):
         unpriced=F.col("price_cents").isNull(),
         undecided=F.col("match_status") == "needs_information",
     )
+
+
+# Corrections of some listings: a price for one in ten, a year for another.
+_CORRECTED_SQL = M.LISTINGS_SQL.replace("listings AS (", "original AS (", 1).replace(
+    "flagged AS (",
+    """listings AS (SELECT * REPLACE (CASE WHEN listing_id % 10 = 1 THEN listing_id * 7000 ELSE price_cents END AS price_cents,
+      CASE WHEN listing_id % 10 = 2 THEN 2003 ELSE year END AS year) FROM original),
+flagged AS (""",
+    1,
+)
+
+
+def _reassessed(t):
+    from lotwise.plans.reassess import correct_and_reassess
+
+    def rows(rest, field, value, at):
+        return M.listings(t).filter(F.col("listing_id") % 10 == rest).select(
+            "listing_id", F.lit(field).alias("field"), value.cast("string").alias("value"), F.lit(at).cast("timestamp").alias("created_at"), F.col("listing_id").alias("id")
+        )
+
+    earlier = rows(1, "price_cents", F.lit(1), "2024-01-01")
+    made = rows(1, "price_cents", F.col("listing_id") * 7000, "2024-02-01").unionByName(rows(2, "year", F.lit(2003), "2024-02-01"))
+    scores = M.links(t).select("listing_id", "search_id")
+    return correct_and_reassess(M.listings(t), earlier, made, M.links(t), M.searches(t), scores)
+
+
+@query(
+    "correct_and_reassess",
+    M.with_sql(_CORRECTED_SQL, M.MATCH_SQL) + " SELECT listing_id, search_id, match_status, price_cents, high_risk FROM matched WHERE listing_id % 10 IN (1, 2)",
+)
+def reassessed_matches(t):
+    """Matches of corrected listings with every search that saw them."""
+    return _reassessed(t).matches.select("listing_id", "search_id", "match_status", "price_cents", "high_risk")
+
+
+@query("reassess_scores", "SELECT DISTINCT l_partkey AS listing_id, l_suppkey AS search_id FROM lineitem WHERE l_partkey % 10 NOT IN (1, 2)")
+def reassessed_scores(t):
+    """Scores that stay valid after corrections."""
+    return _reassessed(t).scores
+
+
+@query("reassess_requests", "SELECT p_partkey AS listing_id, 'queued' AS state, CAST(0 AS BIGINT) AS attempts FROM part WHERE p_partkey % 10 IN (1, 2)")
+def reassessed_requests(t):
+    """Corrected listings wait for enrichment again."""
+    from lotwise.operators.queues import enrichment_queue
+
+    return enrichment_queue(_reassessed(t).requests).select("listing_id", "state", "attempts")
