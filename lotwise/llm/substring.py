@@ -7,15 +7,17 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.llm.common import SPACE_WORDS, Words, checkpointed, covered, mix, slices, split_words, text_bytes
+from lotwise.llm.common import SLICE_BYTES, SPACE_WORDS, Words, checkpointed, covered, mix, slices, split_words, text_bytes
 
 WINDOW = 20  # words that must repeat
 GRAM = 6  # words of an anchor; a window's anchor is its gram of lowest hash
 HOT = 2000  # occurrences from which an anchor's windows are dealt out one by one
 SHARD_WORDS = 300_000
+HELD_SEGMENTS = 100_000  # distinct segments a task keeps before it passes them on
 _HASH_BYTES = 6  # of each word's hash in a segment
 
 
@@ -55,40 +57,76 @@ def _emit_anchors(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(anchor.view(np.int64)), pa.array(part.column("key").to_numpy()[text])], ["anchor", "key"])
 
 
-def _emit_segments(with_words: bool):
-    """Segments whose anchor occurs elsewhere too; those of hot anchors window by window."""
+def _pack(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Texts compressed for the way through the shuffle."""
+    press = zstandard.ZstdCompressor(level=1)
+    for batch in batches:
+        packed = [None if t is None else press.compress(t.encode()) for t in batch.column("text").to_pylist()]
+        yield batch.set_column(batch.schema.get_field_index("text"), "text", pa.array(packed, pa.binary()))
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words = split_words(*text_bytes(part.column("text")), SPACE_WORDS)
-                first, count, text, anchor = anchors(words)
-                shared = part.column("anchors")
-                own = np.sort(shared.flatten().to_numpy(zero_copy_only=False).view(np.uint64)) if len(shared.flatten()) else np.zeros(0, np.uint64)
-                hot = np.sort(part.column("hot").flatten().to_numpy(zero_copy_only=False).view(np.uint64)) if len(part.column("hot").flatten()) else np.zeros(0, np.uint64)
-                kept = _among(anchor, own)
-                first, count, text, anchor = first[kept], count[kept], text[kept], anchor[kept]
-                parts = np.where(_among(anchor, hot), count, 1)
-                number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
-                split = np.repeat(parts > 1, parts) | np.repeat(_among(anchor, hot), parts)
-                first, count, text, anchor = np.repeat(first, parts) + number, np.where(split, 1, np.repeat(count, parts)), np.repeat(text, parts), np.repeat(anchor, parts)
-                packed = np.ascontiguousarray((words.hashes >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]).tobytes()
-                ends = first + count + WINDOW - 1
-                held = [packed[a * _HASH_BYTES : b * _HASH_BYTES] for a, b in zip(first.tolist(), ends.tolist())]
-                segment = [hashlib.blake2b(h, digest_size=16).digest() for h in held]
-                shard = np.array([int.from_bytes(s[:8], "little", signed=True) for s in segment], np.int64) if len(segment) else np.zeros(0, np.int64)
-                columns = {
-                    "segment": pa.array(segment, pa.binary()),
-                    "doc_id": part.column("doc_id").take(pa.array(text, pa.int64())),
-                    "start": pa.array(first - words.first[text], pa.int32()),
-                }
-                if with_words:
-                    columns |= {"shard": pa.array(np.where(split, shard, anchor.view(np.int64)), pa.int64()), "words": pa.array(held, pa.binary())}
-                else:
-                    columns["key"] = pa.array(part.column("key").to_numpy()[text], pa.int64())
-                yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-    return run
+def _unpacked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spread = zstandard.ZstdDecompressor()
+    for batch in batches:
+        for part in slices(batch, "text", SLICE_BYTES // 3):
+            texts = [None if t is None else spread.decompress(t).decode() for t in part.column("text").to_pylist()]
+            yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.string()))
+
+
+def _segments(part: pa.RecordBatch) -> tuple[list[bytes], list[bytes], np.ndarray, np.ndarray, np.ndarray]:
+    """Segments whose anchor occurs elsewhere too, those of hot anchors window by window: their
+    digest and word hashes, the text and first word of each, and the shard it goes to."""
+    words = split_words(*text_bytes(part.column("text")), SPACE_WORDS)
+    first, count, text, anchor = anchors(words)
+    kept = _among(anchor, _flat(part.column("anchors")))
+    first, count, text, anchor = first[kept], count[kept], text[kept], anchor[kept]
+    hot = _among(anchor, _flat(part.column("hot")))
+    parts = np.where(hot, count, 1)
+    number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
+    first, count, text = np.repeat(first, parts) + number, np.repeat(np.where(hot, 1, count), parts), np.repeat(text, parts)
+    packed = np.ascontiguousarray((words.hashes >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]).tobytes()
+    held = [packed[a * _HASH_BYTES : b * _HASH_BYTES] for a, b in zip(first.tolist(), (first + count + WINDOW - 1).tolist())]
+    segment = [hashlib.blake2b(h, digest_size=16).digest() for h in held]
+    own = np.array([int.from_bytes(s[:8], "little", signed=True) for s in segment], np.int64)
+    shard = np.where(np.repeat(hot, parts), own, np.repeat(anchor.view(np.int64), parts))
+    return segment, held, text, first - words.first[text], shard
+
+
+def _flat(lists: pa.Array) -> np.ndarray:
+    return np.sort(lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))
+
+
+def _emit_distinct(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Distinct segments of a task, each with its first place; a hot one leaves a task once."""
+    held: dict[bytes, tuple] = {}
+
+    def packed() -> pa.RecordBatch:
+        at = [h[0] for h in held.values()]
+        columns = [
+            pa.array([h[1] for h in held.values()], pa.int64()), pa.array(list(held), pa.binary()), pa.array([None if a[0] else a[1] for a in at], pa.int64()),
+            pa.array([a[2] for a in at], pa.int32()), pa.array([h[2] for h in held.values()], pa.binary()),
+        ]
+        held.clear()
+        return pa.RecordBatch.from_arrays(columns, ["shard", "segment", "doc_id", "start", "words"])
+
+    for part in _unpacked(batches):
+        docs = part.column("doc_id").to_pylist()
+        for segment, words, text, start, shard in zip(*(x if isinstance(x, list) else x.tolist() for x in _segments(part))):
+            at = (docs[text] is None, docs[text] or 0, start)
+            known = held.get(segment)
+            if known is None or at < known[0]:
+                held[segment] = (at, shard, words)
+        if len(held) >= HELD_SEGMENTS:
+            yield packed()
+    if held:
+        yield packed()
+
+
+def _emit_places(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in _unpacked(batches):
+        segment, _, text, start, _ = _segments(part)
+        at = pa.array(text, pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(segment, pa.binary()), part.column("doc_id").take(at), pa.array(start, pa.int32()), part.column("key").take(at)], ["segment", "doc_id", "start", "key"])
 
 
 def _among(values: np.ndarray, ranked: np.ndarray) -> np.ndarray:
@@ -240,7 +278,7 @@ def _index_shards(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def _remove(carry: list[str], with_text: bool):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _unpacked(batches):
             n_words, n_removed, digest, texts = [], [], [], []
             marks = batch.column("marks").to_pylist()
             for i, value in enumerate(batch.column("text")):
@@ -284,24 +322,25 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_t
     windows to shards one by one, so no shard grows with a hot passage.
     """
     keyed = docs.select(*dict.fromkeys([*carry, "doc_id", "text"])).withColumn("key", F.xxhash64("doc_id", "text"))
-    named = [c for c in carry if c != "doc_id"]
-    keyed = keyed.select("key", F.col("doc_id").cast("long").alias("doc_id"), "text", *named)
     seen = keyed.select("key", "text").where(F.col("text").isNotNull()).mapInArrow(_emit_anchors, "anchor long, key long")
     often = seen.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1)
     shared = seen.join(often, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("n") > HOT, F.col("anchor"))).alias("hot"))
-    asked = keyed.select("key", "doc_id", "text").join(checkpointed(shared), "key")
 
+    packed = keyed.mapInArrow(_pack, keyed.withColumn("text", F.col("text").cast("binary")).schema)
+    # All columns go along, so that this shuffle of the texts is the one that the last join uses.
+    asked = packed.join(checkpointed(shared), "key")
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "start")
-    whole = asked.mapInArrow(_emit_segments(True), "segment binary, doc_id long, start int, shard long, words binary")
-    distinct = whole.groupBy("segment").agg(F.min(order).alias("at"), F.first("shard").alias("shard"), F.first("words").alias("words"))
+    whole = asked.mapInArrow(_emit_distinct, "shard long, segment binary, doc_id long, start int, words binary")
+    # Dealt out by shard once; equal segments have the same shard, so they meet without another shuffle.
+    distinct = whole.repartition("shard").groupBy("shard", "segment").agg(F.min(order).alias("at"), F.first("words").alias("words"))
     dealt = distinct.select("shard", "segment", F.col("at.doc_id").alias("doc_id"), F.col("at.start").alias("start"), "words")
-    judged = dealt.repartition("shard").sortWithinPartitions("shard").mapInArrow(_index_shards, "segment binary, first_doc long, first_start int, mask long, all long")
-    places = asked.mapInArrow(_emit_segments(False), "segment binary, doc_id long, start int, key long")
+    judged = dealt.sortWithinPartitions("shard").mapInArrow(_index_shards, "segment binary, first_doc long, first_start int, mask long, all long")
+    places = asked.mapInArrow(_emit_places, "segment binary, doc_id long, start int, key long")
     first = F.col("doc_id").eqNullSafe(F.col("first_doc")) & (F.col("start") == F.col("first_start"))
     # A later place repeats all windows of its segment.
     mask = F.when(first, F.col("mask")).otherwise(F.col("all"))
     marks = places.join(judged, "segment").select("key", "start", mask.alias("mask")).where(F.col("mask") != 0)
-    gathered = checkpointed(marks.groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("marks")))
+    gathered = marks.groupBy("key").agg(F.collect_list(F.struct("start", "mask")).alias("marks"))
     types = dict(docs.dtypes)
     result = ", ".join([*(f"`{c}` {types[c]}" for c in carry), "n_words long, n_removed long, kept_sha256 string", *["kept_text string"] * with_text])
-    return keyed.join(gathered, "key", "left").drop("key").mapInArrow(_remove(list(carry), with_text), result)
+    return packed.join(gathered, "key", "left").drop("key").mapInArrow(_remove(list(carry), with_text), result)
