@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from lotwise.functions.text import compatible
+
 MICROS_PER_DAY = 86_400_000_000
 
 
@@ -21,7 +23,7 @@ def parse_eur_cents(text: Column) -> Column:
 
     Exactly two digits after the last separator are cents; every other separator groups digits.
     """
-    value = F.trim(text)
+    value = F.trim(compatible(text))
     digits = F.regexp_replace(value, r"[^0-9.,]", "")
     has_cents = digits.rlike(r"[.,][0-9]{2}$")
     euros = F.regexp_replace(

@@ -58,6 +58,27 @@ def _accent_table() -> tuple[str, str]:
     return "".join(source), "".join(target)
 
 
+@lru_cache(maxsize=1)
+def _compatible_table() -> tuple[dict[str, str], dict[str, str]]:
+    """Characters whose compatible form is plain ASCII: one character for one, and longer ones."""
+    single, longer = {}, {}
+    for code in range(0x80, 0x10000):
+        plain = unicodedata.normalize("NFKD", chr(code))
+        if plain.isascii() and unicodedata.normalize("NFD", chr(code)) == chr(code):
+            (single if len(plain) == 1 else longer)[chr(code)] = plain
+    return single, {c: p for c, p in longer.items() if p.isalpha()}
+
+
+def compatible(text: Column) -> Column:
+    """Wide letters and digits, hard spaces and ligatures as their plain forms."""
+    single, longer = _compatible_table()
+    text = F.translate(text, "".join(single), "".join(single.values()))
+    # The Latin ligatures; rarer signs of several letters stay.
+    for ligature in "ﬀﬁﬂﬃﬄﬅﬆ":
+        text = F.replace(text, F.lit(ligature), F.lit(longer[ligature]))
+    return text
+
+
 def fold(text: Column) -> Column:
     """Lower-case text without accents."""
     source, target = _accent_table()
@@ -97,7 +118,7 @@ def plain_text(text: Column) -> Column:
 
 def match_text(text: Column) -> Column:
     """Form used for keyword rules: folded, dashes and white space collapsed."""
-    dashed = F.regexp_replace(fold(text), "[‐‑‒–—―-]+", " ")
+    dashed = F.regexp_replace(fold(compatible(text)), "[‐‑‒–—―-]+", " ")
     return normalize_ws(dashed)
 
 

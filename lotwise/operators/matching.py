@@ -191,14 +191,14 @@ def personal_fit(df: DataFrame, soft: str = "soft_contributions") -> DataFrame:
         .when(unknown > 0, F.lit("partial"))
         .otherwise(F.lit("assessed"))
     )
-    text = F.when(total == 0, F.lit("No soft preferences configured for this search.")).otherwise(
+    text = F.when(total == 0, F.lit("The search names no wishes.")).otherwise(
         F.concat(
             F.col("fit_matched").cast("string"),
-            F.lit(" matched, "),
+            F.lit(" met, "),
             F.col("fit_missed").cast("string"),
-            F.lit(" missed, "),
+            F.lit(" not met, "),
             unknown.cast("string"),
-            F.lit(" unknown. Fit uses only known soft preferences; distance is shown separately."),
+            F.lit(" open. Only wishes that can be judged count; distance does not."),
         )
     )
     return df.withColumns(

@@ -45,10 +45,33 @@ def scan_stop_point(
     initial_limit: int = INITIAL_CARD_LIMIT,
     streak_limit: int = KNOWN_STREAK_LIMIT,
     card_limit: int = CARD_LIMIT,
+    existing: Column | None = None,
+    card: str | None = None,
+    snapshot: str | None = None,
+    empty_limit: int = EMPTY_SNAPSHOTS,
 ) -> DataFrame:
-    """One row per scan: where it stops, why, and how many cards and new cards it keeps."""
+    """One row per scan: where it stops, why, and how many cards and new cards it keeps.
+
+    ``known`` says that this search saw the card before and makes the streak; ``existing`` (``known``
+    if not given) that any search did, and all others count as new. With ``card``, a card shown again
+    in the scan counts only once. With ``snapshot`` (rising along ``position``), a scan also stops
+    after ``empty_limit`` snapshots in a row that show no further card.
+    """
     standard = F.lit(True) if mode is None else mode == "standard"
-    walked = known_streak(df.withColumns({"_k": known, "_i": initial, "_s": standard}), scan, position, F.col("_k"))
+    df = df.withColumns({"_k": known, "_e": known if existing is None else existing, "_i": initial, "_s": standard})
+    once = df
+    if card is not None:
+        first = df.groupBy(*scan, card).agg(F.min(position).alias(position))
+        once = df.join(first, [*scan, card, position], "left_semi")
+    if snapshot is not None:
+        added = once.groupBy(*scan, snapshot).agg(F.count("*").alias("_added"))
+        shots = df.select(*scan, snapshot).distinct().join(added, [*scan, snapshot], "left").withColumn("_added", F.coalesce("_added", F.lit(0)))
+        stalled = no_progress_streak(shots, scan, snapshot, "_added", empty_limit).filter("stalled")
+        stalled = stalled.groupBy(*scan).agg(F.min(snapshot).alias("_stall"))
+        once = once.join(stalled, scan, "left").filter(F.col("_stall").isNull() | (F.col(snapshot) <= F.col("_stall")))
+    else:
+        once = once.withColumn("_stall", F.lit(None).cast("bigint"))
+    walked = known_streak(once, scan, position, F.col("_k"))
     reason = (
         F.when(F.col("_s") & F.col("_i") & (F.col("cards_seen") >= initial_limit), F.lit("initial_limit"))
         .when(F.col("_s") & ~F.col("_i") & (F.col("streak") >= streak_limit), F.lit("known_streak"))
@@ -61,8 +84,10 @@ def scan_stop_point(
     kept = walked.join(stops, scan).filter(F.col("stop").isNull() | (F.col("cards_seen") <= F.col("stop.at")))
     return kept.groupBy(*scan).agg(
         F.count("*").alias("cards_seen"),
-        F.count_if(~F.col("_k")).alias("new_cards"),
-        F.coalesce(F.first("stop.why"), F.lit("results_end")).alias("stop_reason"),
+        F.count_if(~F.col("_e")).alias("new_cards"),
+        F.coalesce(
+            F.first("stop.why"), F.when(F.max("_stall").isNotNull(), F.lit("no_progress")).otherwise(F.lit("results_end"))
+        ).alias("stop_reason"),
     )
 
 

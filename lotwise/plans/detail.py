@@ -30,11 +30,11 @@ def seller_message(year: Column, make: Column, model: Column, variant: Column, t
     named = F.concat_ws(" ", year.cast("string"), make, model, variant)
     vehicle = F.when(named != "", named).otherwise(plain_text(title))
     return F.concat(
-        F.lit("Hello, is the "),
+        F.lit("Good day, I saw your "),
         vehicle,
         F.lit(
-            " still available? I am interested and would like to confirm its condition and history before "
-            "arranging a viewing. Thank you."
+            " and would like to come and see it. Is it for sale at the price shown, "
+            "and what should I know about its past and its state? Kind regards."
         ),
     )
 
@@ -42,11 +42,11 @@ def seller_message(year: Column, make: Column, model: Column, variant: Column, t
 def seller_questions(imported: Column, seller_type: Column) -> Column:
     return F.array_compact(
         F.array(
-            F.lit("Is the vehicle still available, and is the advertised price the full purchase price?"),
-            F.lit("Do you have the maintenance history and inspection records?"),
-            F.when(imported, F.lit("When was it imported, and is the registration history available?")),
-            F.lit("Has the vehicle had any accidents, structural repairs, or current faults?"),
-            F.lit("Can I inspect and test-drive it before making any commitment?"),
-            F.when(seller_type == "dealer", F.lit("What warranty is included in the advertised price?")),
+            F.lit("Can it still be bought, and is the price shown all there is to pay?"),
+            F.lit("Which service and inspection papers come with it?"),
+            F.when(imported, F.lit("When did it enter the country, and are its earlier papers at hand?")),
+            F.lit("Has it been in a crash, had body work, or anything that needs repair now?"),
+            F.lit("May I look it over and drive it before I decide?"),
+            F.when(seller_type == "dealer", F.lit("Does the price cover a warranty, and which?")),
         )
     )

@@ -125,8 +125,19 @@ def _within(nodes: Column, node: Column) -> Column:
     return F.filter(nodes, lambda n: (n["seq"] >= node["seq"]) & (n["seq"] <= node["last"]))
 
 
-def visible(nodes: Column) -> Column:
-    """Drop scripts, styles and what is inside them."""
+def visible(nodes: Column, private: bool = True) -> Column:
+    """Drop scripts, styles and what is inside them.
+
+    Without ``private`` also pictures, forms, buttons and the areas of sellers, contact, financing
+    and payment.
+    """
+
+    def hides(n: Column) -> Column:
+        plain = n["tag"].isin("script", "style", "noscript")
+        if private:
+            return plain
+        area = (F.coalesce(n["name"], F.lit("")) != "seller-type") & F.coalesce(n["name"], F.lit("")).rlike("(?iu)seller|contact|financing|payment")
+        return plain | n["tag"].isin("svg", "form", "button") | area
 
     def shown(hidden: Column) -> Column:
         return F.filter(
@@ -134,7 +145,7 @@ def visible(nodes: Column) -> Column:
         )
 
     # Bound once: named inside the lambda, the hidden nodes would be looked up for every node.
-    return X.let(F.filter(nodes, lambda n: n["tag"].isin("script", "style", "noscript")), shown)
+    return X.let(F.filter(nodes, hides), shown)
 
 
 def text_of(nodes: Column, node: Column) -> Column:
@@ -559,7 +570,7 @@ def extract_labelled_pairs(nodes: DataFrame, section_name: str = "combined-detai
     A label counts when its pair of wrappers holds exactly two paragraphs, the label first.
     Two different values for one key reject the page.
     """
-    df = nodes.withColumn("_v", visible(F.col("nodes")))
+    df = nodes.withColumn("_v", visible(F.col("nodes"), private=False))
     df = df.withColumn("_d", section(F.col("_v"), section_name))
     v, d = F.col("_v"), F.col("_d")
     labels = F.create_map(*[F.lit(x) for pair in DETAIL_LABELS.items() for x in pair])
@@ -656,6 +667,7 @@ EMBEDDED = {
     "trim": ["vehicle_trim_display_name", "vehicle_trim", "vehicleTrim", "trim"],
     "fuel": ["vehicle_fuel_type", "vehicle_fuel", "fuel_type", "fuelType", "fuel"],
     "gearbox": ["vehicle_transmission_type", "vehicle_transmission", "transmission_type", "transmissionType", "transmission"],
+    "specifications": ["vehicle_specifications", "vehicleSpecifications", "specifications"],
     "power": ["horse_power", "horsepower", "power_hp", "powerHp"],
     "odometer": ["vehicle_odometer_data", "odometer_data", "odometerData"],
     "condition": ["vehicle_condition", "condition"],
@@ -666,6 +678,8 @@ EMBEDDED = {
 def embedded_facts(source: Column) -> Column:
     """struct of vehicle facts found in script text."""
     odometer = _property(source, EMBEDDED["odometer"], "\\{([^{}]*)\\}")
+    # Only the listing's own specifications; they may hold objects themselves.
+    specifications = F.concat(F.lit("{"), _property(source, EMBEDDED["specifications"], "\\{((?:[^{}]|\\{[^{}]*\\})*)\\}"))
     km = X.structured_odometer(
         _number_property(odometer, ["value", "amount"]), _string_property(odometer, ["unit", "units"])
     )
@@ -678,7 +692,7 @@ def embedded_facts(source: Column) -> Column:
         named["variant"].alias("variant"),
         X.structured_fuel(_string_property(source, EMBEDDED["fuel"])).alias("fuel"),
         X.structured_gearbox(_string_property(source, EMBEDDED["gearbox"])).alias("gearbox"),
-        X.structured_power(_number_property(source, EMBEDDED["power"])).alias("power_hp"),
+        X.structured_power(_number_property(specifications, EMBEDDED["power"])).alias("power_hp"),
         X.clean_structured(_string_property(source, EMBEDDED["condition"])).alias("condition"),
         X.clean_structured(_string_property(source, EMBEDDED["listing_condition"])).alias("listing_condition"),
     )

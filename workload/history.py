@@ -233,6 +233,38 @@ def stop_point(t):
     )
 
 
+_SHOWN = """shown AS (SELECT user_id, event_id % 60 AS card, event_type IN ('view', 'click', 'error') AS known, event_type <> 'purchase' AS existing, n, (n - 1) // 4 AS shot FROM
+      (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events)),
+    once AS (SELECT s.* FROM shown s JOIN (SELECT user_id, card, min(n) AS n FROM shown GROUP BY ALL) USING (user_id, card, n)),
+    shots AS (SELECT user_id, shot, coalesce(any_value(added), 0) AS added FROM (SELECT DISTINCT user_id, shot FROM shown) LEFT JOIN (SELECT user_id, shot, count(*) AS added FROM once GROUP BY ALL) USING (user_id, shot) GROUP BY ALL),
+    stall AS (SELECT user_id, min(shot) AS stall FROM (SELECT *, row_number() OVER w - coalesce(max(CASE WHEN added > 0 THEN shot + 1 END) OVER w, 0) AS empty FROM shots WINDOW w AS (PARTITION BY user_id ORDER BY shot)) WHERE empty >= 3 GROUP BY user_id),
+    seen AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY n) AS place FROM once LEFT JOIN stall USING (user_id) WHERE stall IS NULL OR shot <= stall),
+    streaks AS (SELECT *, place - coalesce(max(CASE WHEN NOT known THEN place END) OVER (PARTITION BY user_id ORDER BY place), 0) AS streak FROM seen),
+    rules AS (SELECT *, CASE WHEN user_id % 3 = 0 AND place >= 30 THEN 'initial_limit' WHEN user_id % 3 = 1 AND streak >= 6 THEN 'known_streak' WHEN place >= 70 THEN 'card_limit' END AS reason FROM streaks),
+    stops AS (SELECT user_id, min(place) FILTER (reason IS NOT NULL) AS stop_at, arg_min(reason, place) FILTER (reason IS NOT NULL) AS why FROM rules GROUP BY user_id)"""
+
+
+@query(
+    "scan_stop_rules",
+    "WITH " + _SHOWN + """ SELECT user_id, count(*) AS cards_seen, count(*) FILTER (NOT existing) AS new_cards,
+      coalesce(any_value(why), CASE WHEN max(stall) IS NOT NULL THEN 'no_progress' ELSE 'results_end' END) AS stop_reason
+    FROM rules JOIN stops USING (user_id) WHERE stop_at IS NULL OR place <= stop_at GROUP BY user_id""",
+)
+def stop_rules(t):
+    """Stops with cards shown again, cards known to other searches, and snapshots without progress."""
+    cards = _cards(t).withColumns(
+        {
+            "card": F.col("event_id") % 60,
+            "shot": F.floor((F.col("position") - 1) / 4),
+            "standard": F.when(F.col("user_id") % 3 == 2, F.lit("deep")).otherwise(F.lit("standard")),
+        }
+    )
+    return S.scan_stop_point(
+        cards, ["user_id"], "position", F.col("known"), F.col("user_id") % 3 == 0, F.col("standard"), initial_limit=30, streak_limit=6, card_limit=70,
+        existing=F.col("event_type") != "purchase", card="card", snapshot="shot",
+    )
+
+
 @query(
     "running_limit",
     "WITH " + _CARDS + " SELECT user_id, count(*) AS kept, count(*) FILTER (known) AS known FROM cards WHERE n <= 25 GROUP BY user_id",

@@ -251,15 +251,15 @@ def _drafts(t):
     f"""WITH s AS (SELECT s_suppkey AS search_id, {", ".join(f"{e} AS {n}" for n, e in _DRAFT.items())},
       {", ".join(f"{e} AS {n}" for n, e in M.SEARCH.items())} FROM supplier),
     issues AS (
-      SELECT 'name' AS path, 'must contain 1-100 characters' AS message FROM s WHERE trim(name) = ''
-      UNION ALL SELECT 'priority', 'must be an integer from 1 to 1000' FROM s WHERE priority < 1
+      SELECT 'name' AS path, 'needs 1-100 characters' AS message FROM s WHERE trim(name) = ''
+      UNION ALL SELECT 'priority', 'is to be an integer from 1 to 1000' FROM s WHERE priority < 1
       UNION ALL SELECT 'criteria.scope', 'broad searches require at least one hard narrowing filter: fuel, maximum price, maximum mileage, minimum year, or required keyword'
         FROM s WHERE scope = 'broad' AND NOT (has_target OR price_hard OR min_year IS NOT NULL OR has_required OR (has_make AND NOT has_target))
-      UNION ALL SELECT 'location.origin', 'must be empty in nationwide mode' FROM s WHERE location_mode = 'nationwide' AND origin IS NOT NULL
-      UNION ALL SELECT 'location.mode', 'must be radius or nationwide' FROM s WHERE location_mode = 'nearby'
-      UNION ALL SELECT 'location.origin', 'must contain 1-160 characters in radius mode' FROM s WHERE location_mode = 'radius' AND origin IS NULL
-      UNION ALL SELECT 'location.radius_km', 'must be one of 25, 50, 100, 150, 250, 500 kilometres' FROM s WHERE location_mode = 'radius' AND radius_km = 40
-      UNION ALL SELECT 'criteria', 'must include at least one make, model, variant, or required keyword'
+      UNION ALL SELECT 'location.origin', 'is to be empty in nationwide mode' FROM s WHERE location_mode = 'nationwide' AND origin IS NOT NULL
+      UNION ALL SELECT 'location.mode', 'is to be radius or nationwide' FROM s WHERE location_mode = 'nearby'
+      UNION ALL SELECT 'location.origin', 'needs 1-160 characters in radius mode' FROM s WHERE location_mode = 'radius' AND origin IS NULL
+      UNION ALL SELECT 'location.radius_km', 'is to be one of 25, 50, 100, 150, 250, 500 kilometres' FROM s WHERE location_mode = 'radius' AND radius_km = 40
+      UNION ALL SELECT 'criteria', 'needs at least one make, model, variant, or required keyword'
         FROM s WHERE scope = 'targeted' AND NOT has_target AND NOT has_required AND NOT has_make)
     SELECT path, message, count(*) AS violations FROM issues GROUP BY ALL""",
 )
