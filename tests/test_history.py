@@ -114,3 +114,32 @@ def test_late_prices_change_nothing(spark):
     df = spark.createDataFrame(rows, "listing_id bigint, at timestamp, seq bigint, price bigint")
     out = H.price_changes(df, ["listing_id"], "at", "price", ["seq"], F.floor(F.col("seq") / 2)).orderBy("seq").collect()
     assert [(r["seq"], r["previous_price"], r["meaningful"]) for r in out] == [(0, None, False), (1, 1000_00, True), (4, 900_00, False)]
+
+
+def test_a_file_that_arrives_late_cannot_undo_a_sighting(spark):
+    """Two batches in the wrong order: the misses of the older one count for nothing, its sighting
+    only widens the span."""
+    newer = [(1, hour(100), 3, "seen"), (2, hour(100), 7, "seen")]
+    older = [(1, hour(1), 0, "seen"), (1, hour(20), 1, "miss"), (1, hour(40), 2, "miss"), (2, hour(90), 4, "miss"), (2, hour(130), 8, "miss"), (2, hour(140), 9, "miss"), (2, hour(150), 10, "miss")]
+    state = H.lifecycle_state(spark.createDataFrame(newer, LOG), "listing_id", "at", "kind", ["at", "seq"])
+    after = H.lifecycle_state(spark.createDataFrame(older[3:], LOG), "listing_id", "at", "kind", ["at", "seq"], state)
+    rows = {r["listing_id"]: r for r in after.collect()}
+    assert (rows[2]["availability"], rows[2]["consecutive_misses"], rows[2]["possibly_unavailable_at"], rows[2]["inactive_at"]) == ("inactive", 3, hour(150), hour(150))
+    assert (rows[1]["availability"], rows[1]["consecutive_misses"], rows[1]["last_seen_at"]) == ("active", 0, hour(100))
+
+
+def test_queue_items_follow_their_log(spark):
+    from lotwise.operators.queues import enrichment_queue
+
+    steps = [
+        (1, 0, "enqueue", 5, None), (1, 1, "claim", None, None), (1, 2, "enqueue", 6, None), (1, 3, "success", None, None),
+        (2, 0, "enqueue", 5, None), (2, 1, "claim", None, None), (2, 2, "failure", None, "timeout"),
+        (3, 0, "enqueue", 5, None), (3, 1, "claim", None, None), (3, 2, "failure", None, "invalid_response"), (3, 3, "enqueue", 5, None),
+        (4, 0, "enqueue", 5, None), (4, 1, "exclude", None, None), (4, 2, "enqueue", 5, None), (4, 3, "include", None, None), (4, 4, "enqueue", 5, None),
+        (5, 0, "claim", None, None),
+    ]
+    log = spark.createDataFrame([(k, hour(a), a, kind, v, f) for k, a, kind, v, f in steps], "listing_id bigint, at timestamp, seq bigint, kind string, version bigint, failure string")
+    got = {r["listing_id"]: (r["state"], r["version"], r["attempts"], r["last_error_code"]) for r in enrichment_queue(log).collect()}
+    assert got == {
+        1: ("queued", 6, 1, None), 2: ("queued", 5, 1, "timeout"), 3: ("failed", 5, 1, "invalid_response"), 4: ("queued", 5, 0, None)
+    }

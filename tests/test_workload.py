@@ -31,6 +31,18 @@ CHECKED = [
     "geo_distance",
     "json_validate",
     "next_capture_batch",
+    "lifecycle_stream",
+    "late_observations",
+    "enrichment_queue_state",
+    "correct_and_reassess",
+    "scan_stop_rules",
+    "page_class",
+    "model_batch",
+    "valuation_texts",
+    "seller_texts",
+    "dhash64",
+    "blocked_searches",
+    "replay_dedupe",
 ]
 
 

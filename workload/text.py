@@ -306,8 +306,8 @@ def model_input(t):
 @query(
     "seller_texts",
     "WITH " + _TEXT_SQL
-    + """ SELECT listing_id, 'Hello, is the ' || coalesce(nullif(concat_ws(' ', year, make, model, variant), ''), trim(title)) ||
-      ' still available? I am interested and would like to confirm its condition and history before arranging a viewing. Thank you.' AS message,
+    + """ SELECT listing_id, 'Good day, I saw your ' || coalesce(nullif(concat_ws(' ', year, make, model, variant), ''), trim(title)) ||
+      ' and would like to come and see it. Is it for sale at the price shown, and what should I know about its past and its state? Kind regards.' AS message,
       CAST(4 + CAST(imported AS INT) + CAST(coalesce(seller_type = 'dealer', false) AS INT) AS INT) AS questions FROM facts""",
 )
 def seller_texts(t):

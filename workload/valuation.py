@@ -239,12 +239,12 @@ def assessment_consistency(t):
     + """ SELECT listing_id, search_id,
       CAST(3 + CAST(price_spread_percent IS NOT NULL AS INT) + CAST(comparable_count < 5 AS INT)
         + CAST(variant IS NULL OR no_variant_count > 0 AS INT) + CAST(stale_subject AS INT) + CAST(market_status = 'verify_price' AS INT) AS INT) AS confidence_reasons,
-      CASE WHEN market_status = 'verify_price' THEN 'Verify the full asking price and vehicle condition before treating this as a bargain.'
-        WHEN market_status = 'insufficient_data' THEN 'Insufficient market data: ' || comparable_count || ' comparable vehicles; at least 5 are required.'
-        ELSE 'The range covers the middle 50% of comparable asking prices after outlier removal. It is not a sale-price prediction.' END AS market_text,
-      CASE WHEN soft = 0 THEN 'No soft preferences configured for this search.' ELSE
-        fit_matched || ' matched, ' || fit_missed || ' missed, ' || (soft - fit_matched - fit_missed) ||
-        ' unknown. Fit uses only known soft preferences; distance is shown separately.' END AS fit_text FROM ranked""",
+      CASE WHEN market_status = 'verify_price' THEN 'Price or condition looks odd; check both before calling it cheap.'
+        WHEN market_status = 'insufficient_data' THEN 'Too few to compare: ' || comparable_count || ' similar vehicles, 5 needed.'
+        ELSE 'Half of the similar offers, outliers left out, lie inside this range; sold prices may differ.' END AS market_text,
+      CASE WHEN soft = 0 THEN 'The search names no wishes.' ELSE
+        fit_matched || ' met, ' || fit_missed || ' not met, ' || (soft - fit_matched - fit_missed) ||
+        ' open. Only wishes that can be judged count; distance does not.' END AS fit_text FROM ranked""",
 )
 def valuation_texts(t):
     """Explanations that go with each score."""
