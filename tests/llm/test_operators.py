@@ -324,7 +324,15 @@ def test_alignment_counts_like_the_full_table():
         whole = table[-1][-1]
         assert near_dups.common_words(a, b, 100) == whole
         if b:
-            assert near_dups.similar(a, b) == (whole >= 0.8 * max(len(a), len(b)) - 1e-9)
+            assert near_dups._aligned(a, b, 0.8) == (whole >= 0.8 * max(len(a), len(b)) - 1e-9)
+
+
+def test_links_by_shingles_or_words():
+    own = [str(i) for i in range(200)]
+    edited = own[:40] + ["x"] + own[41:90] + ["y"] + own[91:]
+    assert near_dups.similar(own, edited) and near_dups.similar(own, own[:165]) and not near_dups.similar(own, own[:155])
+    assert not near_dups.similar(own, own[:140] + [f"z{i}" for i in range(60)])
+    assert not near_dups.similar(own, own[100:] + own[:100])
 
 
 def test_near_copies_meet_and_others_do_not(spark):
@@ -345,8 +353,15 @@ def test_near_copies_meet_and_others_do_not(spark):
         copy[rng.randrange(100)] = rng.choice(words)
         rows.append((10000 + c, "  ".join(copy).upper() if c % 2 else " ".join(copy)))
         want[10000 + c] = 10000
+    # A passage that many texts share, and of them two that are near copies.
+    passage = prose(140, rng, words)
+    for c in range(80):
+        rows.append((15000 + c, f"{passage} {prose(60, rng, words)}"))
+        want[15000 + c] = 15000 + c
+    rows.append((15100, rows[-1][1] + " end"))
+    want[15100] = 15079
     alone = [(20000, None), (20001, ""), (20002, "one two"), (20003, "one three"), (20004, " "), (20005, prose(5, rng, words))]
-    rows += [*alone, (20006, "one  TWO"), (None, rows[0][1]), (10000, rows[-1][1])]
+    rows += [*alone, (20006, "one  TWO"), (None, rows[0][1]), (10000, rows[-84][1])]
     want |= {i: i for i, _ in alone} | {20006: 20002, None: 0}
     got = near_dups.near_duplicate_classes(documents(spark, rows)).collect()
     assert len(got) == len(rows)
