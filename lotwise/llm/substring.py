@@ -18,7 +18,8 @@ GRAM = 6  # words of an anchor; a window's anchor is its gram of lowest hash
 HOT = 2000  # occurrences from which an anchor's windows are dealt out one by one
 SHARD_WORDS = 300_000
 HELD_SEGMENTS = 100_000  # distinct segments a task keeps before it passes them on
-_HASH_BYTES = 6  # of each word's hash in a segment
+_HASH_BYTES = 5  # of each word's hash in a segment
+_DIGEST_BYTES = 12  # of a segment's identity
 
 
 def anchors(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -84,9 +85,9 @@ def _segments(part: pa.RecordBatch) -> tuple[list[bytes], list[bytes], np.ndarra
     parts = np.where(hot, count, 1)
     number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     first, count, text = np.repeat(first, parts) + number, np.repeat(np.where(hot, 1, count), parts), np.repeat(text, parts)
-    packed = np.ascontiguousarray((words.hashes >> np.uint64(16)).view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]).tobytes()
+    packed = np.ascontiguousarray((words.hashes >> np.uint64(64 - 8 * _HASH_BYTES)).view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]).tobytes()
     held = [packed[a * _HASH_BYTES : b * _HASH_BYTES] for a, b in zip(first.tolist(), (first + count + WINDOW - 1).tolist())]
-    segment = [hashlib.blake2b(h, digest_size=16).digest() for h in held]
+    segment = [hashlib.blake2b(h, digest_size=_DIGEST_BYTES).digest() for h in held]
     own = np.array([int.from_bytes(s[:8], "little", signed=True) for s in segment], np.int64)
     shard = np.where(np.repeat(hot, parts), own, np.repeat(anchor.view(np.int64), parts))
     return segment, held, text, first - words.first[text], shard
@@ -323,7 +324,8 @@ def remove_repeats(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",), with_t
     """
     keyed = docs.select(*dict.fromkeys([*carry, "doc_id", "text"])).withColumn("key", F.xxhash64("doc_id", "text"))
     seen = keyed.select("key", "text").where(F.col("text").isNotNull()).mapInArrow(_emit_anchors, "anchor long, key long")
-    often = seen.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1)
+    # Written, so that the join gets both sides from a shuffle and a hot anchor's rows can be split.
+    often = checkpointed(seen.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > 1))
     shared = seen.join(often, "anchor").groupBy("key").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("n") > HOT, F.col("anchor"))).alias("hot"))
 
     packed = keyed.mapInArrow(_pack, keyed.withColumn("text", F.col("text").cast("binary")).schema)
