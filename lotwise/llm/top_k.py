@@ -13,9 +13,10 @@ from lotwise.llm.common import checkpointed
 SCALE = 1024.0
 PIVOTS = 16  # cells of the trees' top level, chosen from a sample
 SAMPLE = 512  # distinct vectors the cells are chosen from
-BLOCK = 4096  # vectors of one block of a cell
+BLOCK = 1024  # vectors of one block of a cell; building a tree over far-apart points costs their square
 CHUNK = 2048  # queries of one chunk
 LEAF = 32
+FLAT = 8  # a node stays a leaf if an eighth of its points don't cover it
 _EXACT = float(1 << 53)
 
 
@@ -23,7 +24,8 @@ class CoverTree:
     """Nodes with a center, a covering radius and either children or points.
 
     Children of a node are centers more than half its radius apart that cover its points within
-    half the radius; splitting ends at ``LEAF`` points or at copies of one point.
+    half the radius; splitting ends at ``LEAF`` points, at copies of one point, and at points so far
+    apart that most would be centers.
     """
 
     def __init__(self, points: np.ndarray) -> None:
@@ -46,13 +48,14 @@ class CoverTree:
             if len(own) <= LEAF or radius == 0:
                 continue
             owner, centers = np.zeros(len(own), np.int64), [center]
-            while gap.max() > radius / 2:
+            while gap.max() > radius / 2 and len(centers) <= max(LEAF, len(own) // FLAT):
                 nearest = int(own[gap.argmax()])
                 other = self._gap(own, nearest)
                 owner[other < gap] = len(centers)
                 centers.append(nearest)
                 gap = np.minimum(gap, other)
-            todo += [(own[owner == i], c, node) for i, c in enumerate(centers)]
+            if gap.max() <= radius / 2:
+                todo += [(own[owner == i], c, node) for i, c in enumerate(centers)]
         for node, own in kids.items():
             if node >= 0:
                 self.children[node] = np.array(own)
@@ -105,22 +108,22 @@ class DualSearch:
             self.visit(int(child), finer)
 
     def compare(self, asked: np.ndarray, points: np.ndarray) -> None:
+        """Score a group of queries against a group of points and keep the best."""
         if self.whole:
-            real = self.real_queries[asked] @ self.real_data[points].T
-            useful = (real >= self.floor[asked][:, None]).any(axis=0)
-            scores = real[:, useful].astype(np.int64)
+            scores = (self.real_queries[asked] @ self.real_data[points].T).astype(np.int64)
         else:
             scores = self.queries[asked] @ self.data[points].T
-            useful = (scores >= self.floor[asked][:, None]).any(axis=0)
-            scores = scores[:, useful]
-        if not scores.size:
+        last = max(0, scores.shape[1] - self.k)
+        least = np.maximum(np.partition(scores, last, axis=1)[:, last].astype(np.float64), self.floor[asked])
+        row, column = np.nonzero(scores >= least[:, None])
+        if not len(row):
             return
-        ids = np.broadcast_to(self.ids[points[useful]], scores.shape)
-        scores = np.concatenate((self.score[asked], scores), axis=1)
-        ids = np.concatenate((self.found[asked], ids), axis=1)
-        best = np.lexsort((ids, -scores), axis=1)[:, : self.k]
-        self.score[asked] = np.take_along_axis(scores, best, axis=1)
-        self.found[asked] = np.take_along_axis(ids, best, axis=1)
+        rows = np.concatenate((np.repeat(np.arange(len(asked)), self.k), row))
+        score = np.concatenate((self.score[asked].ravel(), scores[row, column]))
+        ids = np.concatenate((self.found[asked].ravel(), self.ids[points[column]]))
+        order = np.lexsort((ids, -score, rows))
+        best = order[np.searchsorted(rows[order], np.arange(len(asked)))[:, None] + np.arange(self.k)]
+        self.score[asked], self.found[asked] = score[best], ids[best]
         self.floor[asked] = np.maximum(self.floor[asked], self.score[asked][:, -1].astype(np.float64))
 
 
