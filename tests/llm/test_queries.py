@@ -64,7 +64,7 @@ def test_pipeline_by_brute_force(spark):
             both = len(one & two)
             if both / len(one | two) >= 0.8:
                 strong.append((ids[a], ids[b]))
-            if both and near_dups.similar(words[ids[a]], words[ids[b]]):
+            if words[ids[a]] == words[ids[b]] or both and near_dups.similar(words[ids[a]], words[ids[b]]):
                 x, y = sorted((root(ids[a]), root(ids[b])))
                 parent[y] = x
     kept = stage("near_dedup")(spark, spark.createDataFrame(rows, docs.schema), FOLDER).collect()
