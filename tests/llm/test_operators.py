@@ -309,6 +309,18 @@ def test_licenses_by_wording(spark):
     assert licenses.scan_licenses(documents(spark, [])).count() == 0
 
 
+@pytest.mark.parametrize("size", [60, 100, 150, 250, 350, 390, 500, 5000])
+def test_notices_within_other_prose(size):
+    for name, (notice, _) in licenses.TEMPLATES.items():
+        before, after = prose(size)[: size // 2].rsplit(" ", 1)[0] + ". ", " " + prose(size)[: size // 2]
+        for line in (before + notice, before + notice + after):
+            got = [(n[2], n[4], line[n[0] : n[1]]) for n in licenses.notices(line)]
+            assert got == [(name, True, notice)]
+    two = licenses.notices(prose(30) + " Licensed under the MIT License or the Apache License, Version 2.0. " + prose(30))
+    assert [n[2] for n in two] == ["Apache-2.0", "MIT"] or [n[2] for n in two] == ["MIT", "Apache-2.0"]
+    assert licenses.notices("I was under the strong impression that in the end we only ever discussed the MIT License") == []
+
+
 # Near duplicates
 
 
