@@ -4,6 +4,7 @@ rows, empty tables, other columns with clashing names."""
 import hashlib
 import random
 import re
+import textwrap
 
 import numpy as np
 import pytest
@@ -321,6 +322,21 @@ def test_notices_within_other_prose(size):
     assert licenses.notices("I was under the strong impression that in the end we only ever discussed the MIT License") == []
 
 
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "dnl ", "REM ", "; ", "> "])
+@pytest.mark.parametrize("width", [30, 72])
+def test_wrapped_headers_and_full_texts(mark, width):
+    short = [(name, text, (telling,)) for name, (text, telling) in licenses.TEMPLATES.items()]
+    for name, text, _ in [*short, *licenses.LONG_TEMPLATES]:
+        assert re.search(licenses.CUE, text)
+        page = "\n".join(mark + line for line in ["first line", "", *textwrap.wrap(text, width, break_long_words=False), "", "last line"])
+        found = licenses.notices(page)
+        assert [(n[2], n[4]) for n in found] == [(name, True)], (name, text, found)
+    # Names instead of the template's, and paragraphs.
+    body = "Copyright (c) 2020 Ann\n\n" + licenses._BSD_HEAD + "3. Neither the name of Ann nor the names of its contributors " + licenses._BSD_THIRD.split("contributors ")[1] + "\n\n" + licenses._BSD_TAIL
+    assert [(n[2], n[4]) for n in licenses.notices(body)] == [("BSD-3-Clause", False)]
+    assert licenses.notices("This is free of charge.\nRedistribution is not.") == []
+
+
 # Near duplicates
 
 
