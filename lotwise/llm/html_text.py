@@ -23,7 +23,7 @@ HELD_HOSTS = 1000  # wrappers a task keeps before it passes them on
 SALTS = 32
 BROADCAST_BYTES = 16 << 20  # all wrappers together, measured, for them to be sent to every task
 LONGEST_GROUP = 6  # sibling elements that may form one repeated group
-SHARED = 3  # pages that show the same text at a place outside an article for it to be template text
+SHARED = 3  # different pages that show the same text at a place outside an article for it to be template text
 
 _INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr br img".split())
 _VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -48,6 +48,7 @@ _attribute = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 _name_words = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 
 TEXT = "#"
+LOOSE = "loose"
 
 
 @lru_cache(maxsize=20_000)
@@ -105,25 +106,35 @@ def parse(page: str) -> list:
     return root
 
 
-def _slot(text: str) -> dict:
+def _digest(text: str) -> str:
+    return blake2b(text.encode(errors="surrogatepass"), digest_size=6).hexdigest()
+
+
+def _slot(text: str, page: str) -> dict:
     words = " ".join(text.split())
-    return {"k": TEXT, "n": 1, "c": len(words), "t": blake2b(words.encode(), digest_size=6).hexdigest()}
+    return {"k": TEXT, "n": 1, "c": len(words), "t": _digest(words), "d": [page]}
 
 
-def shape(children: list) -> list[dict]:
-    """Expression of one page's elements: repeated siblings become groups, texts become slots."""
+def shape(children: list, page: str = "") -> list[dict]:
+    """Expression of one page's elements: repeated siblings become groups, texts become slots. ``page``
+    tells different pages apart."""
     out = []
     for child in children:
         if isinstance(child, str):
             if not child.isspace():
-                out.append(_slot(child))
+                out.append(_slot(child, page))
         elif not boilerplate(child[0]):
-            out.append({"k": child[0], "n": 1, "ch": shape(child[1])})
+            out.append({"k": child[0], "n": 1, "ch": shape(child[1], page)})
         else:  # what is inside never matters
             out.append({"k": child[0], "n": 1, "ch": []})
     return repeated(out, 1)
 
 
+def _pages(a: dict, b: dict) -> list[str]:
+    """Different pages that show a place, as many as are asked for."""
+    return sorted({*a["d"], *b["d"]})[:SHARED]
+
+
 def _united(a: dict, b: dict, pages: int | None = None) -> dict:
     """One node for two that stand at the same place; ``pages`` if both are on the same page."""
     own = {"k": a["k"], "n": pages if pages is not None else a["n"] + b["n"]}
@@ -132,6 +143,8 @@ def _united(a: dict, b: dict, pages: int | None = None) -> dict:
             own[flag] = 1
     if a["k"] == TEXT:
         own |= {"c": a["c"] + b["c"], "t": a["t"] if a["t"] == b["t"] else ""}
+        if own["t"]:
+            own["d"] = _pages(a, b)
     else:
         own["ch"] = align(a["ch"], b["ch"], pages)
     return own
@@ -179,23 +192,18 @@ def _kind(node: dict) -> str:
 
 
 def mark_main(wrapper: dict) -> dict:
-    """Mark the nodes of the wrapper that hold the article: `article` elements, else `main`; without
-    any, the slots whose text is not the same on all pages."""
+    """Mark the nodes of the wrapper that hold the article: `article` elements, and `main` elements."""
 
-    def look(nodes: list[dict], kinds: set[str]) -> bool:
-        found = False
+    def look(nodes: list[dict]) -> None:
         for node in nodes:
             if node["k"] == TEXT or boilerplate(node["k"]):
                 continue
-            if _kind(node) in kinds or ".role.article" in node["k"]:
-                node["m"] = 1
-                found = True
-            else:
-                found |= look(node["ch"], kinds)
-        return found
+            if _kind(node) in ("article", "main"):
+                node["m"] = _kind(node)
+            if _kind(node) != "article":
+                look(node["ch"])
 
-    if not look(wrapper["ch"], {"article"}):
-        look(wrapper["ch"], {"main"})
+    look(wrapper["ch"])
     return wrapper
 
 
@@ -207,8 +215,8 @@ def _next(nodes: list[dict], key: str, at: int) -> int:
     return -1
 
 
-def _blocks(children: list, nodes: list[dict], inside: bool, loose: bool, out: list[list[str]]) -> None:
-    """Text of the main nodes; an empty list in ``out`` begins a block."""
+def _blocks(children: list, nodes: list[dict], inside: bool, choice: str, out: list[list[str]]) -> None:
+    """Text of the nodes marked as ``choice``, or of all; an empty list in ``out`` begins a block."""
     at = 0
     for child in children:
         key = TEXT if isinstance(child, str) else child[0]
@@ -216,8 +224,8 @@ def _blocks(children: list, nodes: list[dict], inside: bool, loose: bool, out: l
         node = nodes[place] if place >= 0 else None
         at = place if place >= 0 else at
         if key == TEXT:
-            constant = node is not None and node["n"] >= SHARED and node["t"] != ""
-            if inside or loose and not constant:
+            constant = node is not None and node["t"] != "" and len(node["d"]) >= SHARED
+            if inside or choice == LOOSE and not constant:
                 out[-1].append(child)
             continue
         name = key.split(".", 1)[0]
@@ -228,30 +236,27 @@ def _blocks(children: list, nodes: list[dict], inside: bool, loose: bool, out: l
             out.append([])
         if name == "br":
             out[-1].append(" ")
-        _blocks(child[1], node["ch"] if node else [], inside or bool(node and node.get("m")), loose, out)
+        _blocks(child[1], node["ch"] if node else [], inside or bool(node and node.get("m") == choice), choice, out)
         if name not in _INLINE:
             out.append([])
 
 
 def extract(page: str, wrapper: dict) -> str:
-    """Blocks of the article, in page order."""
+    """Blocks of the article, in page order: of `article` elements, else of `main`, else of all that
+    is not template text. A choice that gives no block leaves the page to the next."""
     tree = parse(page)
-    for loose in (False, True):
+    for choice in ("article", "main", LOOSE):
         out: list[list[str]] = [[]]
-        _blocks(tree, wrapper["ch"], False, loose, out)
+        _blocks(tree, wrapper["ch"], False, choice, out)
         blocks = [" ".join(html.unescape("".join(parts)).split()) for parts in out]
         blocks = [b for b in blocks if b]
-        if blocks or _has_main(tree):
+        if blocks:
             return "\n\n".join(blocks)
     return ""
 
 
-def _has_main(children: list) -> bool:
-    return any(not isinstance(c, str) and (c[0].split(".", 1)[0] in ("article", "main") or _has_main(c[1])) for c in children)
-
-
 def page_wrapper(page: str) -> dict:
-    return {"n": 1, "ch": shape(parse(page))}
+    return {"n": 1, "ch": shape(parse(page), _digest(page))}
 
 
 def _infer(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -321,8 +326,9 @@ def extract_text(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"))
     Returns the columns of ``carry``, then text (blocks joined by an empty line; empty if none) and
     n_chars. Null or empty html has empty text; pages without a host share one wrapper; repeated rows
     give repeated rows; of the input only ``carry``, url and html are read. The wrapper says which
-    places hold the article. Pages without one give the text outside menus and the like that is not
-    the same on all pages of the host.
+    places hold the article: of each page those in `article`, else those in `main`. Pages without
+    either give the text outside menus and the like that is not the same on all different pages of the
+    host that show its place.
     """
     types = dict(pages.dtypes)
     wrappers = checkpointed(infer_wrappers(pages))

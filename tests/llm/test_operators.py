@@ -295,6 +295,20 @@ def test_without_an_article_shared_text_is_left_out():
     assert html_text.extract(pages[2], html_text.mark_main(wrapper)) == "own 2"
 
 
+def texts_of(pages):
+    wrapper = html_text.page_wrapper(pages[0])
+    for p in pages[1:]:
+        wrapper = html_text.united(wrapper, html_text.page_wrapper(p))
+    return [html_text.extract(p, html_text.mark_main(wrapper)) for p in pages]
+
+
+def test_each_page_has_its_own_main_place():
+    pages = ["<article><p>one</p></article>", "<main><p>two</p></main>", "<div><p>three</p></div>", "<main><p>four</p><article></article></main>", "<main></main><p>five</p>"]
+    assert texts_of(pages) == ["one", "two", "three", "four", "five"]
+    assert texts_of(["<div><p>same</p></div>"] * 5) == ["same"] * 5
+    assert texts_of(["<div><p>same</p></div>"] * 2 + [f"<div><p>same</p><p>{i}</p></div>" for i in "ab"]) == ["same", "same", "same\n\na", "same\n\nb"]
+
+
 # Licenses
 
 
