@@ -215,14 +215,48 @@ def _next(nodes: list[dict], key: str, at: int) -> int:
     return -1
 
 
+def _folded(keys: list[str]) -> list[tuple[str, list[int]]]:
+    """Keys after ``repeated``, each with the places of the siblings that it stands for."""
+    nodes = [(key, [i]) for i, key in enumerate(keys)]
+    for size in range(1, LONGEST_GROUP + 1):
+        i = 0
+        while i + 2 * size <= len(nodes):
+            if all(nodes[j][0] == nodes[j + size][0] for j in range(i, i + size)) and not (size == 1 and nodes[i][0] == TEXT):
+                nodes[i : i + 2 * size] = [(nodes[j][0], nodes[j][1] + nodes[j + size][1]) for j in range(i, i + size)]
+            else:
+                i += 1
+    return nodes
+
+
+def _places(children: list, nodes: list[dict]) -> list[dict | None]:
+    """Node of each child, by the alignment that built the wrapper; what it leaves out takes the next
+    node with its key."""
+    kept = [i for i, c in enumerate(children) if not isinstance(c, str) or not c.isspace()]
+    keys, wanted = [TEXT if isinstance(children[i], str) else children[i][0] for i in kept], [n["k"] for n in nodes]
+    places = [-1] * len(keys)
+    own = [(k, [i]) for i, k in enumerate(keys)] if keys == wanted else _folded(keys)
+    if [k for k, _ in own] == wanted:
+        same = [(0, 0, len(own))]
+    else:
+        same = SequenceMatcher(None, wanted, [k for k, _ in own], autojunk=False).get_matching_blocks() if nodes else []
+    for a, b, size in same:
+        for k in range(size):
+            for i in own[b + k][1]:
+                places[i] = a + k
+    out: list[dict | None] = [None] * len(children)
+    at = 0
+    for i, key, place in zip(kept, keys, places):
+        if place < 0:
+            place = _next(nodes, key, at)
+        if place >= 0:
+            out[i], at = nodes[place], place
+    return out
+
+
 def _blocks(children: list, nodes: list[dict], inside: bool, choice: str, out: list[list[str]]) -> None:
     """Text of the nodes marked as ``choice``, or of all; an empty list in ``out`` begins a block."""
-    at = 0
-    for child in children:
+    for child, node in zip(children, _places(children, nodes)):
         key = TEXT if isinstance(child, str) else child[0]
-        place = _next(nodes, key, at)
-        node = nodes[place] if place >= 0 else None
-        at = place if place >= 0 else at
         if key == TEXT:
             constant = node is not None and node["t"] != "" and len(node["d"]) >= SHARED
             if inside or choice == LOOSE and not constant:
@@ -236,7 +270,7 @@ def _blocks(children: list, nodes: list[dict], inside: bool, choice: str, out: l
             out.append([])
         if name == "br":
             out[-1].append(" ")
-        _blocks(child[1], node["ch"] if node else [], inside or bool(node and node.get("m") == choice), choice, out)
+        _blocks(child[1], node["ch"] if node else [], inside or (node.get("m") == choice if node else name == choice), choice, out)
         if name not in _INLINE:
             out.append([])
 

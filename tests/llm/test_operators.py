@@ -309,6 +309,15 @@ def test_each_page_has_its_own_main_place():
     assert texts_of(["<div><p>same</p></div>"] * 2 + [f"<div><p>same</p><p>{i}</p></div>" for i in "ab"]) == ["same", "same", "same\n\na", "same\n\nb"]
 
 
+def test_extraction_follows_the_alignment():
+    pages = ["<body><div>banner</div><section>s</section><div><article>one</article></div><footer>f</footer></body>", "<body><div><article>two</article></div><footer>f</footer></body>"]
+    assert texts_of(pages) == ["one", "two"] and texts_of(pages[::-1]) == ["two", "one"]
+    # Places the wrapper has not.
+    assert html_text.extract("<div><b>x</b><article>kept</article></div>", html_text.mark_main(html_text.page_wrapper("<div><p>x</p></div>"))) == "kept"
+    folded = html_text._folded(["p", "p", "h2", "p", "h2", "p", "#", "#"])
+    assert [k for k, _ in folded] == [n["k"] for n in html_text.shape([("p", []), ("p", []), ("h2", []), ("p", []), ("h2", []), ("p", []), "a", "b"])]
+
+
 # Licenses
 
 
