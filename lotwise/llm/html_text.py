@@ -37,7 +37,12 @@ _BOILERPLATE_WORDS = set(
     "masthead menu modal nav navbar navigation newsletter notice notices pagination pager popup promo related replies respond share sharing sidebar social sponsor "
     "sponsored subscribe subscription toolbar widget widgets".split()
 )
-_NEVER_BOILERPLATE = {"html", "body", "article", "main"}
+_NEVER_BOILERPLATE = {"html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "p"} | _INLINE
+# Names that say enough within an article, if nothing is joined to them; the others are words of sections as well.
+_CLEAR_WORDS = set(
+    "ad ads advert adverts advertisement advertising breadcrumb breadcrumbs comments cookie cookies disqus modal nav navbar navigation newsletter pager pagination "
+    "popup promo share sharing sidebar sponsored subscribe toolbar widget widgets".split()
+)
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<(?P<raw>" + "|".join(_RAW) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*>|\Z)"
@@ -53,16 +58,32 @@ LOOSE = "loose"
 
 @lru_cache(maxsize=20_000)
 def symbol(name: str, attributes: str) -> str:
-    """Name of an element with the words of its class, id and role, without numbers."""
-    words = [w.lower() for m in _attribute.finditer(attributes) for w in _name_words.findall(m[2] or m[3] or m[4] or "")]
-    return ".".join([name, *dict.fromkeys(words)])
+    """Name of an element with its class, id and role, without numbers; words of one are joined by "-"."""
+    said = [_name_words.findall(x) for m in _attribute.finditer(attributes) for x in (m[2] or m[3] or m[4] or "").split()]
+    return ".".join([name, *dict.fromkeys("-".join(w.lower() for w in words) for words in said if words)])
+
+
+def _name(own: str) -> str:
+    return own.split(".", 1)[0]
 
 
 @lru_cache(maxsize=20_000)
 def boilerplate(own: str) -> bool:
     """True for elements that hold menus, notices, adverts, forms, comments and the like."""
-    name, *words = own.split(".")
-    return name in _BOILERPLATE_TAGS or name not in _NEVER_BOILERPLATE and not _BOILERPLATE_WORDS.isdisjoint(words)
+    return _name(own) in _BOILERPLATE_TAGS or worded(own)
+
+
+@lru_cache(maxsize=20_000)
+def worded(own: str) -> bool:
+    """True if it is by a word of its class, id or role; never for headings, paragraphs and inline elements."""
+    name, *words = own.replace("-", ".").split(".")
+    return name not in _BOILERPLATE_TAGS | _NEVER_BOILERPLATE and not _BOILERPLATE_WORDS.isdisjoint(words)
+
+
+@lru_cache(maxsize=20_000)
+def clear(own: str) -> bool:
+    """True if each word of one of its names says so within an article too."""
+    return worded(own) and any(_CLEAR_WORDS.issuperset(token.split("-")) for token in own.split(".")[1:])
 
 
 def parse(page: str) -> list:
@@ -115,16 +136,18 @@ def _slot(text: str, page: str) -> dict:
     return {"k": TEXT, "n": 1, "c": len(words), "t": _digest(words), "d": [page]}
 
 
-def shape(children: list, page: str = "") -> list[dict]:
+def shape(children: list, page: str = "", inside: bool = False) -> list[dict]:
     """Expression of one page's elements: repeated siblings become groups, texts become slots. ``page``
-    tells different pages apart."""
+    tells different pages apart; ``inside`` says that they are within an article."""
     out = []
     for child in children:
         if isinstance(child, str):
             if not child.isspace():
                 out.append(_slot(child, page))
         elif not boilerplate(child[0]):
-            out.append({"k": child[0], "n": 1, "ch": shape(child[1], page)})
+            out.append({"k": child[0], "n": 1, "ch": shape(child[1], page, inside or _name(child[0]) in ("article", "main"))})
+        elif inside and worded(child[0]) and not clear(child[0]):
+            out.append({"k": child[0], "n": 1, "d": [page], "ch": shape(child[1], page, True)})
         else:  # what is inside never matters
             out.append({"k": child[0], "n": 1, "ch": []})
     return repeated(out, 1)
@@ -132,7 +155,7 @@ def shape(children: list, page: str = "") -> list[dict]:
 
 def _pages(a: dict, b: dict) -> list[str]:
     """Different pages that show a place, as many as are asked for."""
-    return sorted({*a["d"], *b["d"]})[:SHARED]
+    return sorted({*a.get("d", ()), *b.get("d", ())})[:SHARED]
 
 
 def _united(a: dict, b: dict, pages: int | None = None) -> dict:
@@ -147,6 +170,8 @@ def _united(a: dict, b: dict, pages: int | None = None) -> dict:
             own["d"] = _pages(a, b)
     else:
         own["ch"] = align(a["ch"], b["ch"], pages)
+        if a.get("d") or b.get("d"):
+            own["d"] = _pages(a, b)
     return own
 
 
@@ -191,6 +216,32 @@ def _kind(node: dict) -> str:
     return node["k"].split(".", 1)[0]
 
 
+def mark_apart(nodes: list[dict], last: bool) -> None:
+    """Mark the places of an article that are apart from its own blocks: named like boilerplate, on
+    several different pages, without a main heading, and either after all other blocks or with the
+    same text on each page. ``last`` says that no own block follows the nodes."""
+    for node in reversed(nodes):
+        if node["k"] == TEXT:
+            last = False
+        elif boilerplate(node["k"]):
+            if worded(node["k"]) and len(node.get("d", ())) >= SHARED and not _holds_title(node["ch"]) and (last or _constant(node["ch"])):
+                node["x"] = 1
+            elif worded(node["k"]) and not clear(node["k"]):
+                mark_apart(node["ch"], last)
+                last = False
+        else:
+            mark_apart(node["ch"], last)
+            last = False
+
+
+def _holds_title(nodes: list[dict]) -> bool:
+    return any(_kind(n) == "h1" or _holds_title(n.get("ch", ())) for n in nodes)
+
+
+def _constant(nodes: list[dict]) -> bool:
+    return all(n["t"] != "" if n["k"] == TEXT else _constant(n["ch"]) for n in nodes)
+
+
 def mark_main(wrapper: dict) -> dict:
     """Mark the nodes of the wrapper that hold the article: `article` elements, and `main` elements."""
 
@@ -200,6 +251,7 @@ def mark_main(wrapper: dict) -> dict:
                 continue
             if _kind(node) in ("article", "main"):
                 node["m"] = _kind(node)
+                mark_apart(node["ch"], True)
             if _kind(node) != "article":
                 look(node["ch"])
 
@@ -263,7 +315,7 @@ def _blocks(children: list, nodes: list[dict], inside: bool, choice: str, out: l
                 out[-1].append(child)
             continue
         name = key.split(".", 1)[0]
-        if boilerplate(key) and not (name == "header" and inside):
+        if boilerplate(key) and not (inside and (name == "header" or worded(key) and not clear(key) and not (node and node.get("x")))):
             out.append([])
             continue
         if name not in _INLINE:
@@ -362,7 +414,10 @@ def extract_text(pages: DataFrame, carry: tuple[str, ...] = ("page_id", "url"))
     give repeated rows; of the input only ``carry``, url and html are read. The wrapper says which
     places hold the article: of each page those in `article`, else those in `main`. Pages without
     either give the text outside menus and the like that is not the same on all different pages of the
-    host that show its place.
+    host that show its place. Within an article, a section whose name has a word of menus and the like
+    is left out if the name says nothing else, or if the wrapper shows it as a place apart: on three
+    different pages, after the article's own blocks or with the same text, and without an h1. Headings,
+    paragraphs and inline elements never are by their names.
     """
     types = dict(pages.dtypes)
     wrappers = checkpointed(infer_wrappers(pages))

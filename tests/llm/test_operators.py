@@ -318,6 +318,16 @@ def test_extraction_follows_the_alignment():
     assert [k for k, _ in folded] == [n["k"] for n in html_text.shape([("p", []), ("p", []), ("h2", []), ("p", []), ("h2", []), ("p", []), "a", "b"])]
 
 
+def test_words_in_names_of_article_content():
+    article = """<article><div class="article-header"><h1>T{0}</h1></div><h2 id="social-impact">A</h2><p class="notice">b{0}</p><h2 id="legal-framework">C</h2>
+    <section id="related-work"><h2>D{0}</h2><p>e{0}</p></section><p>f <span class="ad">g</span></p><div class="share">S</div><div class="post-comments"><p>no{0}</p></div></article>"""
+    want = "T{0}\n\nA\n\nb{0}\n\nC\n\nD{0}\n\ne{0}\n\nf g"
+    assert texts_of([article.format(i) for i in range(4)]) == [want.format(i) for i in range(4)]
+    assert texts_of([article.format(1)] * 4) == [want.format(1) + "\n\nno1"] * 4
+    last = "<article><p>x</p><section id=legal-notice><p>own</p></section></article>"
+    assert texts_of([last, "<article><p>y</p></article>", "<article><p>z</p></article>"])[0] == "x\n\nown"
+
+
 # Licenses
 
 
