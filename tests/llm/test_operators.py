@@ -441,6 +441,22 @@ def test_links_do_not_depend_on_who_leads(spark):
     assert all(r["class_id"] == r["doc_id"] for r in got)
 
 
+def test_rare_pairs_lose_no_link(spark):
+    rng = random.Random(11)
+    texts = []
+    for _ in range(3):
+        own = prose(80, rng).split()
+        for _ in range(14):
+            copy = list(own)
+            for _ in range(rng.randint(0, 3)):
+                copy[rng.randrange(80)] = rng.choice(VOCABULARY)
+            texts.append(copy[: rng.randint(72, 80)])
+    frame = spark.createDataFrame([(bytes([i]), " ".join(t)) for i, t in enumerate(texts)], "node binary, text string")
+    got = {(r["a"][0], r["b"][0]) for r in near_dups._rare_pairs(frame, frame.select("node")).collect()}
+    want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if texts[i] != texts[j] and near_dups.similar(texts[i], texts[j])}
+    assert want and want <= got
+
+
 # Language
 
 
