@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from lotwise.operators import history as H
 from lotwise.operators import queues as Q
 from lotwise.operators import scans as S
+from lotwise.operators.ordered import day_of
 from lotwise.operators.rank import next_work_batch
 from lotwise.session import ensure_checkpoint_dir
 from lotwise.sources import tables as B
@@ -63,15 +64,15 @@ def last_known_value(t):
 
 
 _CENTS = "CAST(floor(value * 100000 + 0.5) AS BIGINT)"
-_PRICES = f"""WITH p AS (SELECT user_id, ts, event_id, {_CENTS} AS price FROM events WHERE event_type IN ('view', 'click')),
+_PRICES = f"""WITH p AS (SELECT user_id, ts, event_id, {_CENTS} AS price FROM events WHERE value IS NOT NULL),
 l AS (SELECT *, lag(price) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous_price FROM p),
 c AS (SELECT *, price - previous_price AS d, CASE WHEN previous_price IS NOT NULL THEN greatest(10000, CAST(ceil(previous_price * 0.01) AS BIGINT)) END AS threshold FROM l
   WHERE previous_price IS NULL OR previous_price <> price)"""
 
 
 def _prices(t):
-    df = t.events.filter(F.col("event_type").isin("view", "click")).withColumn("price", F.expr(_CENTS))
-    return H.price_changes(df, ["user_id"], "ts", "price", ["ts", "event_id"])
+    df = t.events.withColumn("price", F.expr(_CENTS))
+    return H.price_changes(df, ["user_id"], "ts", "price", ["ts", "event_id"], day_of("ts"))
 
 
 @query(
