@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, chat, decontaminate, html_text, language, licenses, near_dups, substring, top_k, url_filter
+from lotwise.llm import bpe, chat, decontaminate, html_text, language, licenses, near_dups, substring, top_k, url_filter, whitening
 from lotwise.session import prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -190,3 +190,9 @@ FROM d LEFT JOIN gone USING (doc_id)
 @query("op2_substring_dedup", _REPEAT_SQL)
 def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return substring.remove_repeats(table(spark, folder, "documents"))
+
+
+@query("op11_whitening")
+def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    found = whitening.whiten(table(spark, folder, "embeddings"))
+    return found.withColumn("deviation", F.col("deviation").cast("long"))
