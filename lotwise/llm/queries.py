@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, chat, decontaminate, html_text, language, licenses, near_dups, substring, top_k, url_filter, whitening
-from lotwise.session import prepare
+from lotwise.llm import bpe, chat, decontaminate, html_text, language, licenses, near_dups, substring, token_files, top_k, url_filter, whitening
+from lotwise.session import ensure_checkpoint_dir, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -196,3 +197,17 @@ def substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 def embedding_whitening(spark: SparkSession, folder: str) -> DataFrame:
     found = whitening.whiten(table(spark, folder, "embeddings"))
     return found.withColumn("deviation", F.col("deviation").cast("long"))
+
+
+def run_folder(spark: SparkSession, name: str) -> str:
+    """A new folder under the one that all executors share."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4()}"
+
+
+@query("op13_token_files")
+def token_output(spark: SparkSession, folder: str) -> DataFrame:
+    out = run_folder(spark, "tokens")
+    token_files.write_tokens(table(spark, folder, "documents"), out, tokenizer_path())
+    found = token_files.read_documents(spark, out)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
