@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm import bpe, chat, decontaminate, html_text, language, licenses, near_dups, substring, token_files, top_k, url_filter, whitening
+from lotwise.llm import alignment, bpe, chat, decontaminate, html_text, language, licenses, near_dups, substring, token_files, top_k, url_filter, whitening
 from lotwise.session import ensure_checkpoint_dir, prepare
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,11 +31,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def tokenizer_path() -> str:
-    """The merge list's file on the machine that runs the task; only used where none is passed."""
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
+    """A tokenizer's file on the machine that runs the task; only used where none is passed."""
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 @query("op3_bpe")
@@ -211,3 +211,9 @@ def token_output(spark: SparkSession, folder: str) -> DataFrame:
     token_files.write_tokens(table(spark, folder, "documents"), out, tokenizer_path())
     found = token_files.read_documents(spark, out)
     return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+@query("op12_token_alignment")
+def token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    paths = tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model")
+    return alignment.link_tokens(table(spark, folder, "documents"), run_folder(spark, "alignment"), *paths)
