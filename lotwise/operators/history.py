@@ -121,100 +121,52 @@ STATE = [
 
 
 def lifecycle_state(
-    log: DataFrame, key: str, at: str, kind: str, order: list[str], previous: DataFrame | None = None
+    log: DataFrame,
+    key: str,
+    at: str,
+    kind: str,
+    order: list[str],
+    previous: DataFrame | None = None,
+    chunk: Column | None = None,
 ) -> DataFrame:
     """Current state per listing from a log of ``seen``, ``miss``, ``sweep`` and ``sold`` rows.
 
-    Only aggregates and one limited ranking are used, so a listing with very many rows is
-    reduced before it is shuffled. Rules: the third miss in a row makes a listing doubtful, a
-    day without a sighting after that inactive, a sighting revives it, sold is final.
-    ``previous`` is an earlier result; the log then holds only what came after it.
-    """
-    log = log.select(F.col(key), F.col(at).alias("at"), F.col(kind).alias("kind"), F.struct(*order).alias("place"))
-    seen = F.col("kind") == "seen"
-    if previous is None:
-        birth = log.filter(seen).groupBy(key).agg(F.min("place").alias("born"))
-        log = log.join(birth, key).filter(F.col("place") >= F.col("born")).drop("born")
-        base = log.select(key).distinct().withColumns(
-            {
-                f"p_{c}": F.lit(None).cast("bigint" if c == "consecutive_misses" else "timestamp")
-                for c in STATE
-            }
-        )
-    else:
-        known = previous.select(key, *[F.col(c).alias(f"p_{c}") for c in STATE])
-        birth = log.filter(seen).groupBy(key).agg(F.min("place").alias("born"))
-        log = (
-            log.join(known.select(key, F.lit(True).alias("known")), key, "left")
-            .join(birth, key, "left")
-            .filter(F.col("known") | (F.col("place") >= F.col("born")))
-            .drop("known", "born")
-        )
-        base = log.select(key).distinct().join(known, key, "full")
+    Rules: the third miss in a row makes a listing doubtful, a day without a sighting after that
+    inactive, a sighting revives it, sold is final. ``order`` starts with ``at``. ``previous`` is an
+    earlier result; the log then holds only what came after it. Rows without key or time are left out.
 
-    sold = log.filter(F.col("kind") == "sold").groupBy(key).agg(
-        F.min("place").alias("sold_place"), F.max(F.struct("place", "at"))["at"].alias("sold_at")
-    )
-    sights = log.filter(seen).groupBy(key).agg(F.min("at").alias("n_first"), F.max("at").alias("n_last"))
-    living = (
-        log.join(sold.select(key, "sold_place"), key, "left")
-        .filter(F.col("sold_place").isNull() | (F.col("place") < F.col("sold_place")))
-        .drop("sold_place")
-    )
-    revived = living.filter(seen).groupBy(key).agg(F.max("place").alias("sight_place"), F.max("at").alias("sight_at"))
-    start = base.join(revived, key, "left").select(
-        key,
-        "sight_place",
-        F.greatest("sight_at", "p_last_seen_at").alias("sight_at"),
-        F.when(F.col("sight_place").isNull(), F.coalesce("p_consecutive_misses", F.lit(0))).otherwise(F.lit(0)).alias("misses0"),
-        F.when(F.col("sight_place").isNull(), F.col("p_possibly_unavailable_at")).alias("doubt0"),
-        F.when(F.col("sight_place").isNull(), F.col("p_inactive_at")).alias("gone0"),
-        F.col("p_sold_at").isNotNull().alias("was_sold"),
-    )
-    after = living.filter(F.col("kind").isin("miss", "sweep")).join(start, key).filter(
-        ~F.col("was_sold") & (F.col("sight_place").isNull() | (F.col("place") > F.col("sight_place")))
-    )
-    valid = after.filter((F.col("kind") == "miss") & (F.col("at") > F.col("sight_at")))
-    counted = valid.groupBy(key).agg(F.count("*").alias("new_misses"))
-    nth = Window.partitionBy(key).orderBy("place")
-    third = (
-        valid.withColumn("_n", F.row_number().over(nth))
-        .filter(F.col("_n") <= MISSES_UNTIL_DOUBTFUL)
-        .filter(F.col("_n") + F.col("misses0") == MISSES_UNTIL_DOUBTFUL)
-        .select(key, F.col("place").alias("third_place"), F.col("at").alias("third_at"))
-    )
-    overdue = F.col("at").cast("double") - F.col("sight_at").cast("double") >= INACTIVE_AFTER_SECONDS
-    doubtful = (F.col("misses0") >= MISSES_UNTIL_DOUBTFUL) | (F.col("place") >= F.col("third_place"))
-    gone = (
-        after.filter((F.col("kind") == "sweep") | (F.col("at") > F.col("sight_at")))
-        .join(third, key, "left")
-        .filter(doubtful & overdue)
-        .groupBy(key)
-        .agg(F.min(F.struct("place", "at"))["at"].alias("gone_at"))
-    )
-    state = (
-        base.join(start.drop("sight_at", "sight_place"), key)
-        .join(sights, key, "left")
-        .join(counted, key, "left")
-        .join(third.drop("third_place"), key, "left")
-        .join(gone, key, "left")
-        .join(sold.drop("sold_place"), key, "left")
-    )
-    frozen = F.col("was_sold")
-    state = state.select(
+    The log is read and shuffled once, by listing and ``chunk`` (a day, or what ``measured_chunks``
+    gives for listings with very many rows; it must not decrease along ``order``). A chunk becomes a
+    summary: first and last sight, first sale, last sight before that. Summaries of a listing are
+    combined in order and tell each chunk which of its rows lie after the last sight; of those it
+    keeps the number of misses, the first three, and the first overdue row, which combine likewise.
+    """
+    if order[0] != at:
+        raise ValueError("the order of a lifecycle log starts with its time")
+    rows = log.select(
+        F.col(key), F.col(at).alias("at"), F.col(kind).alias("kind"), F.struct(*order).alias("place"), (day_of(at) if chunk is None else chunk).alias("_chunk")
+    ).filter(F.col(key).isNotNull() & F.col("_chunk").isNotNull())
+    # Dealt out by name, so that what the readings work out stays above the one shuffle they share.
+    rows = rows.repartition(key, "_chunk")
+    whole = _tails(rows, _sights(rows, key, previous), key)
+    fresh = F.col("sight").isNotNull()
+    frozen = F.col("p_sold_at").isNotNull()
+    overdue, third = F.col("overdue"), F.col("third")
+    doubt0, gone0 = F.when(~fresh, F.col("p_possibly_unavailable_at")), F.when(~fresh, F.col("p_inactive_at"))
+    misses0 = _misses_before()
+    # An overdue row before the third miss makes that miss the overdue one: times rise along the order.
+    gone = F.when(misses0 >= MISSES_UNTIL_DOUBTFUL, overdue["at"]).when(third.isNotNull() & overdue.isNotNull(), F.greatest(overdue, third)["at"])
+    state = whole.select(
         key,
         F.least("p_first_seen_at", "n_first").alias("first_seen_at"),
         F.greatest("p_last_seen_at", "n_last").alias("last_seen_at"),
-        F.when(frozen, F.col("p_consecutive_misses"))
-        .otherwise(F.col("misses0") + F.coalesce("new_misses", F.lit(0)))
-        .cast("bigint")
-        .alias("consecutive_misses"),
-        F.when(frozen, F.col("p_possibly_unavailable_at"))
-        .otherwise(F.coalesce("doubt0", "third_at"))
-        .alias("possibly_unavailable_at"),
-        F.when(frozen, F.col("p_inactive_at")).otherwise(F.coalesce("gone0", "gone_at")).alias("inactive_at"),
+        F.when(frozen, F.col("p_consecutive_misses")).otherwise(misses0 + F.coalesce("misses", F.lit(0))).cast("bigint").alias("consecutive_misses"),
+        F.when(frozen, F.col("p_possibly_unavailable_at")).otherwise(F.coalesce(doubt0, third["at"])).alias("possibly_unavailable_at"),
+        F.when(frozen, F.col("p_inactive_at")).otherwise(F.coalesce(gone0, gone)).alias("inactive_at"),
         F.coalesce("sold_at", "p_sold_at").alias("sold_at"),
     )
+    if previous is not None:
+        state = state.unionByName(previous.select(key, *STATE).join(rows.select(key), key, "left_anti"))
     return state.select(
         key,
         F.when(F.col("sold_at").isNotNull(), F.lit("sold"))
@@ -226,6 +178,99 @@ def lifecycle_state(
     )
 
 
+def _misses_before() -> Column:
+    """Misses in a row that the earlier state brings along; a sighting in the log ends them."""
+    return F.when(F.col("sight").isNull(), F.coalesce("p_consecutive_misses", F.lit(0))).otherwise(F.lit(0))
+
+
+def _sights(rows: DataFrame, key: str, previous: DataFrame | None) -> DataFrame:
+    """A summary of each chunk, with the listing's first sale and its last sight before that.
+
+    Rows before the first sight of an unknown listing don't count, so a chunk keeps its first sale of
+    all and its first sale after its first sight, and the last sight before either.
+    """
+    own, per = Window.partitionBy(key, "_chunk"), Window.partitionBy(key)
+    place, seen, sold = F.col("place"), F.col("kind") == "seen", F.col("kind") == "sold"
+    marked = rows.withColumns(
+        {"s_first": F.min(F.when(seen, place)).over(own), "sold_any": F.min(F.when(sold, place)).over(own)}
+    ).withColumn("sold_born", F.min(F.when(sold & (place > F.col("s_first")), place)).over(own))
+    chunks = marked.groupBy(key, "_chunk").agg(
+        F.min("s_first").alias("s_first"),
+        F.max(F.when(seen, place)).alias("s_last"),
+        F.min(F.when(seen, F.col("at"))).alias("s_min_at"),
+        F.max(F.when(seen, F.col("at"))).alias("s_max_at"),
+        F.min("sold_any").alias("sold_any"),
+        F.min("sold_born").alias("sold_born"),
+        F.max(F.when(sold, F.struct("place", "at"))).alias("sold_last"),
+        F.max(F.when(seen & (place < F.col("sold_any")), place)).alias("seen_any"),
+        F.max(F.when(seen & (place < F.col("sold_born")), place)).alias("seen_born"),
+    )
+    if previous is None:
+        chunks = chunks.withColumns({f"p_{c}": F.lit(None).cast("bigint" if c == "consecutive_misses" else "timestamp") for c in STATE})
+    else:
+        chunks = chunks.join(previous.select(key, *[F.col(c).alias(f"p_{c}") for c in STATE]), key, "left")
+    s_last, sold_place = F.col("s_last"), F.col("sold_place")
+    return (
+        chunks.withColumns({"known": F.col("p_first_seen_at").isNotNull(), "born": F.min("s_first").over(per)})
+        .filter("known OR born IS NOT NULL")
+        .withColumn("_sale", F.when(F.col("known") | (F.col("sold_any") > F.col("born")), F.col("sold_any")).otherwise(F.col("sold_born")))
+        .withColumn("sold_place", F.min("_sale").over(per))
+        .withColumn(
+            "sight",
+            F.max(
+                F.when(sold_place.isNull() | (s_last < sold_place), s_last)
+                .when(F.col("sold_any") == sold_place, F.col("seen_any"))
+                .when(F.col("sold_born") == sold_place, F.col("seen_born"))
+            ).over(per),
+        )
+    )
+
+
+def _tails(rows: DataFrame, sights: DataFrame, key: str) -> DataFrame:
+    """Per listing: its sights and sale, and of the rows after the last sight and before the sale the
+    number of misses, the third miss in a row and the first overdue row.
+
+    Rows meet the summary of their chunk where the first shuffle has put them; all its columns come
+    along, so that the same shuffle serves both readings of the log.
+    """
+    place, at, kind = F.col("place"), F.col("at"), F.col("kind")
+    living = F.col("p_sold_at").isNull() & (F.col("sight").isNull() | (place > F.col("sight"))) & (F.col("sold_place").isNull() | (place < F.col("sold_place")))
+    seen_at = F.greatest(F.col(f"sight.{_first_field(rows)}"), F.col("p_last_seen_at"))
+    miss = F.coalesce(living & (kind == "miss") & (at > F.col("seen_at")), F.lit(False))
+    late = living & (miss | (kind == "sweep")) & (at.cast("double") - F.col("seen_at").cast("double") >= INACTIVE_AFTER_SECONDS)
+    nth = Window.partitionBy(key, "_chunk").orderBy(F.when(F.col("is_miss"), 0).otherwise(1), "place")
+    met = rows.join(sights.hint("merge"), [key, "_chunk"]).withColumn("seen_at", seen_at).withColumn("is_miss", miss)
+    numbered = met.withColumn("_n", F.row_number().over(nth))
+    carried = ["sight", "sold_place", "sold_last", "s_min_at", "s_max_at", *[f"p_{c}" for c in STATE]]
+    chunks = numbered.groupBy(key, "_chunk").agg(
+        *[F.first(c).alias(c) for c in carried],
+        F.count_if("is_miss").alias("misses"),
+        F.array_sort(F.collect_list(F.when(F.col("is_miss") & (F.col("_n") <= MISSES_UNTIL_DOUBTFUL), F.struct("place", "at")))).alias("early"),
+        F.min(F.when(late, F.struct("place", "at"))).alias("overdue"),
+    )
+    before = Window.partitionBy(key).orderBy("_chunk").rowsBetween(Window.unboundedPreceding, -1)
+    needed = F.lit(MISSES_UNTIL_DOUBTFUL) - _misses_before() - F.coalesce(F.sum("misses").over(before), F.lit(0))
+    third = F.when((F.col("needed") >= 1) & (F.col("needed") <= F.col("misses")), F.try_element_at("early", F.col("needed").cast("int")))
+    return (
+        chunks.withColumn("needed", needed)
+        .groupBy(key)
+        .agg(
+            F.min("s_min_at").alias("n_first"),
+            F.max("s_max_at").alias("n_last"),
+            F.max(F.when(F.col("sold_place").isNotNull(), F.col("sold_last")))["at"].alias("sold_at"),
+            F.first("sight").alias("sight"),
+            *[F.first(f"p_{c}").alias(f"p_{c}") for c in STATE],
+            F.sum("misses").alias("misses"),
+            F.min(third).alias("third"),
+            F.min("overdue").alias("overdue"),
+        )
+    )
+
+
+def _first_field(rows: DataFrame) -> str:
+    return rows.schema["place"].dataType.names[0]
+
+
 def expire_inactive(state: DataFrame, evaluated_at: Column) -> DataFrame:
     """Sweep stored states: doubtful for long enough becomes inactive."""
     overdue = evaluated_at.cast("double") - F.col("last_seen_at").cast("double") >= INACTIVE_AFTER_SECONDS

@@ -1,4 +1,4 @@
-"""Reading tables and writing results that survive lost executors and reruns."""
+"""Reading tables and merging results into them."""
 
 from __future__ import annotations
 
@@ -64,29 +64,3 @@ def needs_version(df: DataFrame, stored: DataFrame, key: str, version: int) -> D
     done = stored.filter(F.col("version") == version).select(key)
     return df.join(done, key, "left_anti")
 
-
-def write_version(df: DataFrame, root: str, version: int) -> None:
-    """Write one immutable version of a table; a rerun of the same version replaces only itself."""
-    df.write.mode("overwrite").parquet(f"{root}/version={version}")
-
-
-def latest_version(spark: SparkSession, root: str, below: int | None = None) -> int | None:
-    """Highest version whose write was committed, optionally only those below a number."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
-        return None
-    found = []
-    for status in fs.listStatus(path):
-        name = status.getPath().getName()
-        done = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
-        if name.startswith("version=") and fs.exists(done):
-            number = int(name.split("=", 1)[1])
-            if below is None or number < below:
-                found.append(number)
-    return max(found, default=None)
-
-
-def read_version(spark: SparkSession, root: str, version: int | None = None) -> DataFrame | None:
-    version = latest_version(spark, root) if version is None else version
-    return None if version is None else spark.read.parquet(f"{root}/version={version}")

@@ -97,6 +97,62 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     check(rows, {r["listing_id"]: r for r in state.collect()})
 
 
+def write_files(spark, folder, parts):
+    for part in parts:
+        spark.createDataFrame(part, LOG).coalesce(1).write.mode("append").parquet(folder)
+
+
+def run_stream(spark, folder, tmp_path, **options):
+    stream = spark.readStream.schema(LOG).option("maxFilesPerTrigger", 1).parquet(folder)
+    state = run_lifecycle(stream, str(tmp_path / "state"), str(tmp_path / "log"), "listing_id", "at", "kind", ["at", "seq"], **options)
+    return {r["listing_id"]: r for r in state.collect()}
+
+
+def test_stream_goes_on_after_a_restart_and_takes_a_late_file(spark, tmp_path):
+    """The second run gets newer rows and a file that is older than all others."""
+    folder, rows = str(tmp_path / "in"), logs(9, 10, 12)
+    late = [r for r in rows if r[2] in (3, 4)]
+    rest = [r for r in rows if r[2] not in (3, 4)]
+    half = len(rest) // 2
+    write_files(spark, folder, [rest[:half]])
+    check(rest[:half], run_stream(spark, folder, tmp_path))
+    write_files(spark, folder, [rest[half:]])
+    write_files(spark, folder, [late])
+    got = run_stream(spark, folder, tmp_path)
+    check(rest + late, got)
+    changed = spark.read.option("recursiveFileLookup", "true").parquet(str(tmp_path / "state")).groupBy("listing_id").count()
+    assert max(r["count"] for r in changed.collect()) <= 3
+
+
+def test_timers_end_the_day_of_doubtful_listings(spark, tmp_path):
+    doubtful = [(1, hour(h), i, k) for i, (h, k) in enumerate([(0, "seen"), (1, "miss"), (2, "miss"), (3, "miss")])]
+    revived = [(2, r[1], r[2], r[3]) for r in doubtful] + [(2, hour(20), 4, "seen")]
+    missed_late = [(3, hour(0), 0, "seen"), (3, hour(10), 1, "miss"), (3, hour(20), 2, "miss"), (3, hour(29), 3, "miss")]
+    folder = str(tmp_path / "in")
+    write_files(spark, folder, [doubtful + revived, missed_late])
+    write_files(spark, folder, [[(4, hour(40), 0, "seen"), (4, hour(41), 1, "miss")]])
+    got = run_stream(spark, folder, tmp_path, timers=True)
+    assert {k: (r["availability"], r["inactive_at"]) for k, r in got.items()} == {1: ("inactive", hour(24)), 2: ("active", None), 3: ("inactive", hour(29)), 4: ("active", None)}
+
+
+def test_summaries_of_chunks_of_any_size(spark):
+    rows = logs(11, 30, 16)
+    df = spark.createDataFrame(rows, LOG)
+    for hours in (1, 7, 100_000):
+        chunk = F.floor(F.unix_seconds("at") / (3600 * hours))
+        got = {r["listing_id"]: r for r in H.lifecycle_state(df, "listing_id", "at", "kind", ["at", "seq"], chunk=chunk).collect()}
+        check(rows, got)
+
+
+def test_log_is_read_once(spark, tmp_path):
+    spark.createDataFrame(logs(3), LOG).write.parquet(str(tmp_path / "log"))
+    state = H.lifecycle_state(spark.read.parquet(str(tmp_path / "log")), "listing_id", "at", "kind", ["at", "seq"])
+    state.collect()
+    plan = state._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ReusedExchange" in plan
+    assert plan.count("REPARTITION_BY_COL") == 2  # where it is made, and where its name is given again
+
+
 def test_running_values_do_not_depend_on_chunks(spark):
     rng = random.Random(2)
     rows = [(k, p, rng.choice([None, rng.randint(0, 9)])) for k in range(3) for p in range(50)]

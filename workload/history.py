@@ -120,14 +120,14 @@ _LIFE = f"""
 WITH log AS (SELECT user_id, ts, event_id, {_KIND} AS kind, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
 born AS (SELECT user_id, min(n) FILTER (kind = 'seen') AS born, min(n) FILTER (kind = 'sold') AS any_sold FROM log GROUP BY user_id),
 rows_ AS (SELECT l.* FROM log l JOIN born b USING (user_id) WHERE l.n >= b.born),
-sold AS (SELECT user_id, min(n) AS sold_n, max(ts) AS sold_at FROM rows_ WHERE kind = 'sold' GROUP BY user_id),
+sold AS (SELECT user_id, min(n) AS sold_n, min(ts) AS first_sold, max(ts) AS sold_at FROM rows_ WHERE kind = 'sold' GROUP BY user_id),
 live AS (SELECT r.* FROM rows_ r LEFT JOIN sold s USING (user_id) WHERE s.sold_n IS NULL OR r.n < s.sold_n),
 isl AS (SELECT *, sum(CAST(kind = 'seen' AS INT)) OVER (PARTITION BY user_id ORDER BY n) AS island,
   max(CASE WHEN kind = 'seen' THEN ts END) OVER (PARTITION BY user_id ORDER BY n) AS seen_at FROM live),
 mis AS (SELECT *, sum(CAST(kind = 'miss' AND ts > seen_at AS INT)) OVER (PARTITION BY user_id, island ORDER BY n) AS misses,
   max(island) OVER (PARTITION BY user_id) AS final_island FROM isl),
 fin AS (SELECT user_id, max(misses) AS misses, min(ts) FILTER (kind = 'miss' AND misses >= 3) AS doubt_at,
-  min(ts) FILTER (kind IN ('miss', 'sweep') AND misses >= 3 AND epoch(ts) - epoch(seen_at) >= 86400) AS gone_at
+  min(ts) FILTER (kind IN ('miss', 'sweep') AND misses >= 3 AND epoch(ts) - epoch(seen_at) >= 86400) AS gone_at, max(seen_at) AS tail_from
   FROM mis WHERE island = final_island GROUP BY user_id),
 span AS (SELECT user_id, min(ts) AS first_seen, max(ts) AS last_seen FROM rows_ WHERE kind = 'seen' GROUP BY user_id)
 SELECT user_id, CASE WHEN sold_at IS NOT NULL THEN 'sold' WHEN gone_at IS NOT NULL THEN 'inactive' WHEN doubt_at IS NOT NULL THEN 'possibly_unavailable' ELSE 'active' END AS availability,
@@ -174,6 +174,28 @@ def lifecycle_stream(t):
     return _shown(run_lifecycle(stream, f"{root}/state", f"{root}/log", "user_id", "ts", "kind", ["ts", "event_id"]))
 
 
+# A day without a sighting is over by itself, if the log goes on that long or the sale comes later.
+_TIMED = _LIFE.replace(
+    "SELECT user_id, CASE WHEN sold_at",
+    """, timed AS (SELECT fin.* REPLACE (CASE WHEN greatest(doubt_at, tail_from + INTERVAL 1 DAY) <= coalesce(first_sold, (SELECT max(ts) FROM events))
+      THEN greatest(doubt_at, tail_from + INTERVAL 1 DAY) END AS gone_at) FROM fin LEFT JOIN sold USING (user_id) WHERE doubt_at IS NOT NULL
+      UNION ALL SELECT fin.* FROM fin WHERE doubt_at IS NULL)
+SELECT user_id, CASE WHEN sold_at""",
+).replace("FROM span JOIN fin USING", "FROM span JOIN timed USING")
+
+
+@query("lifecycle_timers", _TIMED)
+def lifecycle_timers(t):
+    """States of a stream whose doubtful listings become inactive when their timer runs out."""
+    from lotwise.streaming.lifecycle import run_lifecycle
+
+    root = _run_folder(t)
+    for period in range(3):
+        t.events.filter(F.floor(F.dayofmonth("ts") / 11) == period).repartition(2, "user_id").write.mode("append").parquet(f"{root}/in")
+    stream = t.spark.readStream.schema(t.events.schema).option("maxFilesPerTrigger", 2).parquet(f"{root}/in").withColumn("kind", F.expr(_KIND))
+    return _shown(run_lifecycle(stream, f"{root}/state", f"{root}/log", "user_id", "ts", "kind", ["ts", "event_id"], timers=True))
+
+
 @query(
     "expire_inactive",
     f"""WITH s AS ({_LIFE}) SELECT user_id, CASE WHEN availability IN ('active', 'possibly_unavailable') AND consecutive_misses >= 3
