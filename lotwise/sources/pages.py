@@ -1,7 +1,8 @@
 """Pages: text, listing cards, detail facts, page classes, audits.
 
-Only the split of markup into nodes runs in Python (:func:`page_nodes`, batch by batch over the
-partitions). Every rule about nodes is a native expression over the node array.
+Only the reading of markup runs in Python, batch by batch over the partitions: cards and labelled
+details in one pass (``reading``), whole pages as a node array (:func:`page_nodes`). Every rule about
+what was read is a native expression.
 """
 
 from __future__ import annotations
@@ -21,8 +22,7 @@ from lotwise.functions import facts as X
 from lotwise.functions.numbers import is_price_text
 from lotwise.functions.text import normalize_ws, unescape_embedded, unescape_string
 from lotwise.functions.urls import canonical_url, safe_image_url, safe_page_path
-
-MAX_PAGE_BYTES = 10 * 1024 * 1024
+from lotwise.sources.reading import SELLER_TYPE, VOID, CardShape, DetailShape, Elements, read_cards, read_details
 
 NODE = (
     "struct<seq:int,last:int,parent:int,tag:string,name:string,field:string,param:string,label:string,"
@@ -33,69 +33,39 @@ _NUMBERS = ("seq", "last", "parent")
 _TEXTS = ("tag", "name", "field", "param", "label", "href", "src", "content", "property", "type", "id", "datetime", "text")
 _NODE_LIST = pa.list_(pa.struct([(n, pa.int32()) for n in _NUMBERS] + [(n, pa.string()) for n in _TEXTS]))
 
-# Elements without content or end tag, and elements whose start ends a paragraph.
-_VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-_ENDS_P = {"p", "div", "ul", "ol", "li", "article", "section", "h1", "h2", "h3", "h4", "table", "form", "header", "footer", "nav"}
-
 
-class _NodeReader(HTMLParser):
+class _NodeReader(Elements):
     """Flat list of elements and texts; ``last`` is the highest seq inside an element."""
 
     def __init__(self, name_attr: str, field_attr: str) -> None:
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.name_attr, self.field_attr = name_attr, field_attr
         self.nodes: list[dict] = []
-        self.open: list[dict] = []
 
     def _add(self, tag: str, **values) -> dict:
-        node = {"seq": len(self.nodes), "parent": self.open[-1]["seq"] if self.open else -1, "tag": tag, **values}
+        node = {"seq": len(self.nodes), "parent": self.open[-1][1]["seq"] if self.open else -1, "tag": tag, **values}
         node["last"] = node["seq"]
         self.nodes.append(node)
         return node
 
-    def _close(self, depth: int) -> None:
-        for node in self.open[depth:]:
-            node["last"] = len(self.nodes) - 1
-        del self.open[depth:]
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in _ENDS_P:
-            for depth in range(len(self.open) - 1, -1, -1):
-                if self.open[depth]["tag"] == "p":
-                    self._close(depth)
-                    break
-                if self.open[depth]["tag"] not in ("b", "i", "em", "strong", "span", "a"):
-                    break
-        a = {}
-        for key, value in attrs:
-            a.setdefault(key, value or "")
-        node = self._add(
+    def enter(self, tag: str, attrs: dict[str, str]) -> dict:
+        return self._add(
             tag,
-            name=a.get(self.name_attr),
-            field=a.get(self.field_attr),
-            param=a.get("data-parameter"),
-            label=a.get("aria-label"),
-            href=a.get("href"),
-            src=a.get("src"),
-            content=a.get("content"),
-            property=a.get("property", a.get("name")),
-            type=a.get("type", a.get("rel")),
-            id=a.get("id"),
-            datetime=a.get("datetime"),
+            name=attrs.get(self.name_attr),
+            field=attrs.get(self.field_attr),
+            param=attrs.get("data-parameter"),
+            label=attrs.get("aria-label"),
+            href=attrs.get("href"),
+            src=attrs.get("src"),
+            content=attrs.get("content"),
+            property=attrs.get("property", attrs.get("name")),
+            type=attrs.get("type", attrs.get("rel")),
+            id=attrs.get("id"),
+            datetime=attrs.get("datetime"),
         )
-        if tag not in _VOID:
-            self.open.append(node)
 
-    def handle_startendtag(self, tag: str, attrs: list) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in _VOID:
-            self._close(len(self.open) - 1)
-
-    def handle_endtag(self, tag: str) -> None:
-        for depth in range(len(self.open) - 1, -1, -1):
-            if self.open[depth]["tag"] == tag:
-                self._close(depth)
-                break
+    def leave(self, node: dict) -> None:
+        node["last"] = len(self.nodes) - 1
 
     def handle_data(self, data: str) -> None:
         if data.strip():
@@ -111,11 +81,7 @@ def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", name_
         for batch in batches:
             rows = []
             for text in batch.column(1).to_pylist():
-                reader = _NodeReader(name_attr, field_attr)
-                reader.feed(text or "")
-                reader.close()
-                reader._close(0)
-                rows.append(reader.nodes)
+                rows.append(_NodeReader(name_attr, field_attr).read(text).nodes)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _NODE_LIST)], [key, "nodes"])
 
     return source.mapInArrow(read, f"{key} {kind}, nodes {NODES}")
@@ -311,43 +277,35 @@ def _first(values: Column) -> Column:
     return F.get(values, F.lit(0))
 
 
-def _fields(name: str) -> Column:
-    n = F.col("nodes")
-    found = F.filter(n, lambda x: x["field"] == name)
-    return F.filter(F.transform(found, lambda x: text_of(n, x)), lambda t: t != "")
+def _kept(*keys: str) -> Column:
+    """Collapsed texts kept under any of the keys, in document order."""
+    found = F.filter(F.col("kept"), lambda x: x["key"].isin(*keys))
+    return F.transform(found, lambda x: normalize_ws(x["text"]))
 
 
-def split_cards(pages: DataFrame, is_card, key: str = "page_id") -> DataFrame:
-    """One row per card: key, card_index, and the nodes of the card."""
-    cards = F.filter(F.col("_all"), is_card)
-    return (
-        pages.select(key, visible(F.col("nodes")).alias("_all"))
-        .select(key, "_all", F.posexplode(cards).alias("card_index", "_card"))
-        .select(key, "card_index", _within(F.col("_all"), F.col("_card")).alias("nodes"))
-    )
+def _filled(texts: Column) -> Column:
+    return F.filter(texts, lambda t: t != "")
 
 
-def extract_cards(nodes: DataFrame, rules: CardRules = CardRules(), key: str = "page_id") -> DataFrame:
+def extract_cards(pages: DataFrame, rules: CardRules = CardRules(), key: str = "page_id") -> DataFrame:
     """Cards with labelled fields; shown text fills fields that carry no label.
 
-    One row per card with ``reasons`` (empty for accepted cards) and ``repeated`` for a listing
-    already seen on the page.
+    ``pages`` has the key and ``html``. One row per card with ``reasons`` (empty for accepted cards)
+    and ``repeated`` for a listing already seen on the page.
     """
-    cards = split_cards(nodes, lambda n: n["name"] == rules.card_name, key)
-    n = F.col("nodes")
-    links = F.transform(
-        F.filter(n, lambda x: x["tag"] == "a"), lambda x: canonical_url(x["href"], rules.host, rules.path, rules.build, rules.base)
-    )
+    shape = CardShape(card_name=rules.card_name, fields=frozenset({"description", "price", "title", "location", "fact"}))
+    cards = read_cards(pages, shape, key)
+    links = F.transform("links", lambda x: canonical_url(x["href"], rules.host, rules.path, rules.build, rules.base))
     cards = cards.withColumns(
         {
             "link": _first(F.filter(links, lambda u: u.isNotNull())),
-            "texts": F.array_distinct(leaf_texts(n)),
-            "description": _first(_fields("description")),
-            "_price": _first(_fields("price")),
-            "_title": _first(_fields("title")),
-            "_place": _first(_fields("location")),
-            "_facts": _fields("fact"),
-            "_image": _first(F.filter(F.transform(F.filter(n, lambda x: x["tag"] == "img"), lambda x: x["src"]), lambda s: s.isNotNull())),
+            "texts": F.array_distinct(_filled(F.transform("texts", normalize_ws))),
+            "description": _first(_filled(_kept("field:description"))),
+            "_price": _first(_filled(_kept("field:price"))),
+            "_title": _first(_filled(_kept("field:title"))),
+            "_place": _first(_filled(_kept("field:location"))),
+            "_facts": _filled(_kept("field:fact")),
+            "_image": _first(F.array_compact("images")),
         }
     )
     texts = F.col("texts")
@@ -424,44 +382,46 @@ def mark_repeats(cards: DataFrame, key: str) -> DataFrame:
 _PLAIN_PRICE = r"^[\d\s.,]+(?:\s*(?:EUR|€))?$"
 
 
-def extract_articles(nodes: DataFrame, rules: CardRules = CardRules(), key: str = "page_id") -> DataFrame:
-    """Article cards: heading link, euro price, parameter facts, seller, warranty, import, date."""
-    cards = split_cards(nodes, lambda n: n["tag"] == "article", key)
-    n = F.col("nodes")
-    heading = _first(F.filter(n, lambda x: x["tag"].isin("h1", "h2")))
-    cards = cards.withColumn("_heading", heading)
-    inside = F.filter(n, lambda x: (x["tag"] == "a") & (x["seq"] >= F.col("_heading.seq")) & (x["seq"] <= F.col("_heading.last")))
+def extract_articles(pages: DataFrame, rules: CardRules = CardRules(), key: str = "page_id") -> DataFrame:
+    """Article cards: heading link, euro price, parameter facts, seller, warranty, import, date.
+
+    ``pages`` has the key and ``html``."""
+    fields = {
+        "location": ("location", "ad-location"),
+        "description": ("description", "ad-description"),
+        "_seller": (SELLER_TYPE, "seller_type"),
+        "_warranty": ("warranty",),
+        "_import": ("imported", "country_origin"),
+    }
+    parameters = ("mileage", "fuel_type", "gearbox", "first_registration_year")
+    wanted = frozenset(n for names in fields.values() for n in names)
+    shape = CardShape(
+        card_tag="article", tags=frozenset({"h1", "h2", "h3"}), names=wanted | {rules.price_name}, params=wanted | set(parameters), heading=frozenset({"h1", "h2"})
+    )
+    cards = read_cards(pages, shape, key)
+    inside = F.filter("links", lambda x: x["heading"])
     links = F.transform(inside, lambda x: canonical_url(x["href"], rules.host, rules.path, rules.build, rules.base))
-    named = F.filter(n, lambda x: x["name"] == rules.price_name)
-    plain = F.filter(n, lambda x: (x["tag"] == "h3") & text_of(n, x).rlike(_PLAIN_PRICE))
-    price_node = F.coalesce(_first(named), _first(plain))
-
-    def field(*names: str) -> Column:
-        found = _first(F.filter(n, lambda x: x["name"].isin(*names) | x["param"].isin(*names)))
-        text = text_of(n, found)
-        ok = (
-            (text != "")
-            & ~text.rlike(r"(?iu)https?://|www\.")
-            & ~X.contains_contact_data(text)
-        )
-        return F.when(found.isNotNull() & ok, text)
+    plain = F.filter(_kept("tag:h3"), lambda t: t.rlike(_PLAIN_PRICE))
+    price = F.coalesce(_first(_kept(f"name:{rules.price_name}")), _first(plain))
 
-    parameters = F.filter(n, lambda x: x["param"].isin("mileage", "fuel_type", "gearbox", "first_registration_year"))
-    time = _first(F.filter(n, lambda x: x["tag"] == "time"))["datetime"]
-    images = F.transform(F.filter(n, lambda x: x["tag"] == "img"), lambda x: safe_image_url(x["src"], rules.image_host))
+    def field(names: tuple[str, ...]) -> Column:
+        def told(text: Column) -> Column:
+            ok = (text != "") & ~text.rlike(r"(?iu)https?://|www\.") & ~X.contains_contact_data(text)
+            return F.when(ok, text)
+
+        return X.let(_first(_kept(*[f"{kind}:{n}" for n in names for kind in ("name", "param")])), told)
+
+    time = _first(F.col("times"))
+    images = F.transform("images", lambda x: safe_image_url(x, rules.image_host))
     cards = cards.withColumns(
         {
             "link": _first(F.filter(links, lambda u: u.isNotNull())),
-            "title": F.when(F.col("_heading").isNotNull(), text_of(n, F.col("_heading"))),
-            "_price": text_of(n, price_node),
-            "_has_price": price_node.isNotNull(),
-            "_euro": F.exists(leaf_texts(n), lambda t: t.rlike("^(?:EUR|€)$")),
-            "_facts": F.filter(F.transform(parameters, lambda x: text_of(n, x)), lambda t: t != ""),
-            "location": field("location", "ad-location"),
-            "description": field("description", "ad-description"),
-            "_seller": field("seller-type", "seller_type"),
-            "_warranty": field("warranty"),
-            "_import": field("imported", "country_origin"),
+            "title": _first(_kept("tag:h1", "tag:h2")),
+            "_price": price,
+            "_has_price": price.isNotNull(),
+            "_euro": F.exists("texts", lambda t: normalize_ws(t).rlike("^(?:EUR|€)$")),
+            "_facts": _filled(_kept(*[f"param:{n}" for n in parameters])),
+            **{name: field(names) for name, names in fields.items()},
             "_posted": F.when(time.rlike(r"^\d{4}-\d{2}-\d{2}(?:T.*)?$"), F.try_to_timestamp(time)),
             "thumbnail_url": _first(F.filter(images, lambda u: u.isNotNull())),
         }
@@ -564,44 +524,83 @@ def section(nodes: Column, name: str) -> Column:
     return _within(nodes, _first(F.filter(nodes, lambda n: n["name"] == name)))
 
 
-def extract_labelled_pairs(nodes: DataFrame, section_name: str = "combined-details-and-equipment-section", key: str = "page_id") -> DataFrame:
+def _with_pairs(read: DataFrame) -> DataFrame:
+    """Add ``_pairs`` (different keys and cleaned values) and ``conflict`` to read detail pages."""
+    labels = F.create_map(*[F.lit(x) for pair in DETAIL_LABELS.items() for x in pair])
+
+    def named(p: Column) -> Column:
+        found = F.struct(F.try_element_at(labels, normalize_ws(p["label"])).alias("key"), X.clean_allowlisted(p["value"], 200).alias("value"))
+        return X.let(found, lambda f: F.when(f["key"].isNotNull() & f["value"].isNotNull(), f))
+
+    df = read.withColumn("_pairs", F.array_distinct(F.array_compact(F.transform("pairs", named))))
+    keys = F.transform("_pairs", lambda p: p["key"])
+    return df.withColumn("conflict", F.size(F.array_distinct(keys)) < F.size(keys))
+
+
+def extract_labelled_pairs(pages: DataFrame, section_name: str = DetailShape.details, key: str = "page_id") -> DataFrame:
     """Label and value paragraphs of a detail section: ``details`` map and ``conflict``.
 
-    A label counts when its pair of wrappers holds exactly two paragraphs, the label first.
-    Two different values for one key reject the page.
+    ``pages`` has the key and ``html``. A label counts when its pair of wrappers holds exactly two
+    paragraphs, the label first. Two different values for one key reject the page.
     """
-    df = nodes.withColumn("_v", visible(F.col("nodes"), private=False))
-    df = df.withColumn("_d", section(F.col("_v"), section_name))
-    v, d = F.col("_v"), F.col("_d")
-    labels = F.create_map(*[F.lit(x) for pair in DETAIL_LABELS.items() for x in pair])
-    paragraphs = F.filter(d, lambda n: n["tag"] == "p")
+    df = _with_pairs(read_details(pages, DetailShape(details=section_name), key))
+    return df.select(
+        key,
+        F.map_from_entries(F.when(~F.col("conflict"), F.col("_pairs"))).alias("details"),
+        "conflict",
+    )
 
-    def holder(node: Column) -> Column:
-        return _first(F.filter(v, lambda n: n["seq"] == node["parent"]))
 
-    def judge(p: Column, both: Column) -> Column:
-        def shape(value: Column) -> Column:
-            named = F.struct(F.try_element_at(labels, text_of(v, p)).alias("key"), value.alias("value"))
-            return F.when((F.size(both) == 2) & (_first(both)["seq"] == p["seq"]) & value.isNotNull(), named)
+# Wording of a published date, of sellers and of where a vehicle was first registered.
+PUBLISHED = r"(?iU)^\d{1,2} de [\p{L}]+ de \d{4}(?: às \d{2}:\d{2})?$"
+DEALER, PRIVATE = "(?i)^(?:profissional|dealer)$", "(?i)^(?:particular|private)$"
+NATIONAL, IMPORTED = "(?i)^nacional$", "(?i)^importad[oa]$"
 
-        return X.let(X.clean_allowlisted(text_of(v, F.get(both, F.lit(1))), 200), shape)
 
-    def pair(p: Column) -> Column:
-        def inside(outer: Column) -> Column:
-            both = F.filter(v, lambda n: (n["tag"] == "p") & (n["seq"] >= outer["seq"]) & (n["seq"] <= outer["last"]))
-            return X.let(both, lambda b: judge(p, b))
+def detail_facts(pages: DataFrame, reference_year: Column, shape: DetailShape = DetailShape(), key: str = "page_id", url: str | None = None) -> DataFrame:
+    """Typed facts of detail pages: vehicle, seller, origin, warranty, inspection, date, identity.
 
-        return X.let(X.let(holder(p), holder), inside)
+    ``pages`` has the key, ``html`` and, where ``url`` names it, the address the page was asked for.
+    A page whose fields disagree keeps ``conflict`` and no facts; ``same_page`` is false where the
+    page declares another address than that, and null where it declares none.
+    """
+    df = _with_pairs(read_details(pages, shape, key)).withColumn("_map", F.map_from_entries(F.when(~F.col("conflict"), F.col("_pairs"))))
 
-    known = F.filter(paragraphs, lambda p: F.map_contains_key(labels, text_of(v, p)))
-    df = df.withColumn("_pairs", F.array_distinct(F.array_compact(F.transform(known, pair))))
-    keys = F.transform("_pairs", lambda p: p["key"])
-    df = df.withColumn("conflict", F.size(F.array_distinct(keys)) < F.size(keys))
-    return df.select(
+    def get(name: str) -> Column:
+        return F.try_element_at("_map", F.lit(name))
+
+    def fact(name: str, extract, kind: str) -> Column:
+        return X.let(get(name), lambda t: extract(t).cast(kind))
+
+    coarse = _first(F.filter(F.transform("seller_words", normalize_ws), lambda t: t.rlike("(?i)^(?:Profissional|Particular)$")))
+    seller = F.coalesce(get("seller"), normalize_ws(F.col("seller_named")), coarse)
+    posted = _first(F.col("dates"))
+    published = _first(F.filter(F.transform("paragraphs", normalize_ws), lambda t: t.rlike(PUBLISHED)))
+    named = X.make_model_variant(F.concat_ws(" ", get("make"), F.coalesce(get("model"), F.lit(""))))
+    known = ~F.col("conflict")
+    out = df.select(
         key,
-        F.map_from_entries(F.when(~F.col("conflict"), F.col("_pairs"))).alias("details"),
         "conflict",
+        F.when(get("make").isNotNull(), F.coalesce(named["make"], get("make"))).alias("make"),
+        get("model").alias("model"),
+        get("variant").alias("variant"),
+        fact("year", lambda t: F.when(t.rlike(r"^\d{4}$"), X.year_in(t, reference_year)), "int").alias("year"),
+        fact("mileage", X.distance_in, "bigint").alias("mileage"),
+        X.first_pattern(get("fuel"), X.FUEL_RULES)["value"].alias("fuel"),
+        X.first_pattern(get("transmission"), X.GEARBOX_RULES)["value"].alias("gearbox"),
+        fact("power", X.power_in, "int").alias("power_hp"),
+        F.when(known & seller.rlike(DEALER), F.lit("dealer")).when(known & seller.rlike(PRIVATE), F.lit("private")).alias("seller_type"),
+        F.when(get("origin").rlike(NATIONAL), F.lit(False)).when(get("origin").rlike(IMPORTED), F.lit(True)).alias("imported"),
+        get("warranty").alias("warranty"),
+        get("inspection").alias("inspection"),
+        F.when(known, F.when(posted.rlike(r"^\d{4}-\d{2}-\d{2}(?:T.*)?$") & F.try_to_timestamp(posted).isNotNull(), posted).otherwise(published)).alias("posted"),
+        "canonical",
     )
+    if url is None:
+        return out
+    asked = pages.select(key, F.col(url).alias("_asked"))
+    plain = lambda c: F.regexp_extract(c, r"^[^?#]*", 0)
+    return out.join(asked, key).withColumn("same_page", plain(F.col("canonical")) == plain(F.col("_asked"))).drop("_asked")
 
 
 def extract_equipment(nodes: Column, section_name: str = "content-equipments-section") -> Column:
@@ -775,8 +774,8 @@ class _Skeleton(HTMLParser):
                     kept.append(f' {key}="{escape(value)}"')
                 if key == "href" and (hit := self.item_path.search(value)):
                     kept.append(f' data-marketplace-item="{hit.group(1)}"')
-            self.out.append(f"<{tag}{''.join(kept)}>" + (f"</{tag}>" if tag in _VOID else ""))
-        if tag not in _VOID:
+            self.out.append(f"<{tag}{''.join(kept)}>" + (f"</{tag}>" if tag in VOID else ""))
+        if tag not in VOID:
             self.open.append((tag, hidden))
 
     def handle_endtag(self, tag: str) -> None:

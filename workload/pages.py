@@ -160,7 +160,7 @@ def page_leaf_texts(t):
 @query("article_counts", "SELECT page_id, len(regexp_extract_all(html, '(?i)<article\\b')) AS recognized, len(regexp_extract_all(html, '(?i)<article\\b')) AS rejected FROM pages WHERE len(regexp_extract_all(html, '(?i)<article\\b')) > 0")
 def article_counts(t):
     """Articles without a listing link are rejected."""
-    cards = P.extract_articles(P.page_nodes(t.pages))
+    cards = P.extract_articles(t.pages)
     return P.card_counts(cards).select("page_id", "recognized", "rejected")
 
 
@@ -205,7 +205,7 @@ _CARD_SQL = """WITH c AS (SELECT p_partkey // 40 AS page_id, CAST(p_partkey % 40
 )
 def page_cards(t):
     """Cards of result pages, with shown text in place of missing labels."""
-    cards = P.extract_cards(P.page_nodes(market_pages(t)), _RULES)
+    cards = P.extract_cards(market_pages(t), _RULES)
     return cards.select(
         "page_id", "card_index", "source_listing_id", "url", "title", "displayed_price", "thumbnail_url",
         (F.size("reasons") > 0).alias("rejected"), "repeated",
@@ -220,7 +220,7 @@ def page_cards(t):
 )
 def page_card_counts(t):
     """Card counts per result page."""
-    return P.card_counts(P.extract_cards(P.page_nodes(market_pages(t)), _RULES))
+    return P.card_counts(P.extract_cards(market_pages(t), _RULES))
 
 
 def article_pages(t):
@@ -261,7 +261,7 @@ def article_pages(t):
 def article_cards(t):
     """Cards of article result pages."""
     rules = P.CardRules(path=r"^/carros/anuncio/[^/]+-ID([a-zA-Z0-9]+)\.html$", build=None)
-    cards = P.extract_articles(P.page_nodes(article_pages(t)), rules)
+    cards = P.extract_articles(article_pages(t), rules)
     return cards.select(
         "page_id", "source_listing_id", "url", "title", "displayed_price", "seller_type", "warranty", "imported",
         F.date_format("posted_at", "yyyy-MM-dd").alias("posted_on"), F.array_join("card_facts", "|").alias("card_facts"),
@@ -306,11 +306,71 @@ def detail_pages(t):
 )
 def labelled_pairs(t):
     """Labelled values of detail pages; contradictions reject the page."""
-    out = P.extract_labelled_pairs(P.page_nodes(detail_pages(t)))
+    out = P.extract_labelled_pairs(detail_pages(t))
     get = lambda k: F.try_element_at("details", F.lit(k)).alias(k)
     return out.select("page_id", "conflict", get("make"), get("year"), get("variant"))
 
 
+def fact_pages(t):
+    """Detail pages with every labelled fact, a seller in one of four places, a date and an address."""
+
+    def pair(label, value, given=None):
+        row = F.concat(F.lit(f"<div><div><p>{label}</p></div><div><p>"), value, F.lit("</p></div></div>"))
+        return row if given is None else F.when(given, row).otherwise(F.lit(""))
+
+    k, size = F.col("p_partkey"), F.col("p_size")
+    number = lambda c: c.cast("bigint").cast("string")
+    asked = F.concat(F.lit("https://www.market.example/carros/anuncio/x-ID"), number(k), F.lit(".html"))
+    html = F.concat(
+        F.lit('<html><head><link rel="canonical" href="'),
+        F.when(k % 13 == 0, F.lit("https://www.market.example/other")).otherwise(F.concat(asked, F.lit("?ref=1"))),
+        F.lit('"></head><body><div data-testid="content-description-section">'),
+        F.when(k % 2 == 0, F.concat(F.lit('<time datetime="2024-05-'), F.lpad(number(k % 28 + 1), 2, "0"), F.lit('"></time>'))).otherwise(
+            F.concat(F.lit("<p>Bom carro</p><p>"), number(k % 28 + 1), F.lit(" de março de 2024 às 10:30</p>"))
+        ),
+        F.lit('</div><section data-testid="combined-details-and-equipment-section">'),
+        pair("Marca", F.when(k % 3 == 0, F.lit("bmw")).otherwise(F.col("p_brand"))),
+        pair("Modelo", F.col("p_type")),
+        pair("Versão", F.col("p_name")),
+        pair("Ano", F.when(k % 11 == 0, F.lit("desde 2010")).otherwise(number(1990 + size))),
+        pair("Ano", F.lit("1999"), k % 9 == 0),
+        pair("Quilómetros", F.concat(number(size * 1000), F.when(k % 5 == 0, F.lit(" mi")).otherwise(F.lit(" km")))),
+        pair("Combustível", F.when(k % 4 == 0, F.lit("Gasolina")).when(k % 4 == 1, F.lit("Gasóleo")).when(k % 4 == 2, F.lit("Diesel")).otherwise(F.lit("Outro"))),
+        pair("Tipo de Caixa", F.when(k % 2 == 0, F.lit("Manual")).otherwise(F.lit("Automática"))),
+        pair("Potência", F.concat(number(size + 60), F.when(k % 6 == 0, F.lit(" kW")).otherwise(F.lit(" cv")))),
+        pair("Garantia", F.lit("12 meses"), k % 2 == 0),
+        pair("Inspeção válida até", F.lit("maio de 2027"), k % 7 == 0),
+        pair("Origem", F.when(k % 3 == 0, F.lit("Nacional")).otherwise(F.lit("Importado")), k % 3 < 2),
+        pair("Anunciante", F.lit("Profissional"), k % 4 == 0),
+        F.lit("<div><p>Cor</p><div><p>preto</p><p>mate</p></div></div></section>"),
+        F.when(k % 4 == 1, F.lit('<i data-testid="seller-type">Particular</i>'))
+        .when(k % 4 == 2, F.lit('<div data-testid="content-seller-area-section"><b>Ana</b><span>Profissional</span><a href="tel:1">x</a></div>'))
+        .otherwise(F.lit("")),
+        F.lit("</body></html>"),
+    )
+    return over_cores(t, t.part.select(k.alias("page_id"), asked.alias("url"), html.alias("html")))
+
+
+@query(
+    "detail_facts",
+    """WITH f AS (SELECT p_partkey AS k, p_size AS size, p_partkey % 9 = 0 AND p_size + 1990 <> 1999 OR p_partkey % 9 = 0 AND p_partkey % 11 = 0 AS conflict, * FROM part)
+    SELECT k AS page_id, conflict, CASE WHEN NOT conflict THEN CASE WHEN k % 3 = 0 THEN 'BMW' ELSE p_brand END END AS make, CASE WHEN NOT conflict THEN p_type END AS model,
+      CASE WHEN NOT conflict THEN p_name END AS variant, CASE WHEN NOT conflict AND k % 11 <> 0 AND size + 1990 <= 2025 THEN 1990 + size END AS year,
+      CASE WHEN NOT conflict THEN CAST(floor(CASE WHEN k % 5 = 0 THEN size * 1000 * 1.609344 ELSE size * 1000 END + 0.5) AS BIGINT) END AS mileage,
+      CASE WHEN NOT conflict THEN CASE k % 4 WHEN 0 THEN 'petrol' WHEN 1 THEN 'diesel' WHEN 2 THEN 'diesel' END END AS fuel,
+      CASE WHEN NOT conflict THEN CASE WHEN k % 2 = 0 THEN 'manual' ELSE 'automatic' END END AS gearbox,
+      CASE WHEN NOT conflict THEN CAST(CASE WHEN k % 6 = 0 THEN floor((size + 60) * 1.34102 + 0.5) ELSE size + 60 END AS INT) END AS power_hp,
+      CASE WHEN NOT conflict THEN CASE k % 4 WHEN 0 THEN 'dealer' WHEN 1 THEN 'private' WHEN 2 THEN 'dealer' END END AS seller_type,
+      CASE WHEN NOT conflict THEN CASE k % 3 WHEN 0 THEN false WHEN 1 THEN true END END AS imported, CASE WHEN NOT conflict AND k % 2 = 0 THEN '12 meses' END AS warranty,
+      CASE WHEN NOT conflict AND k % 7 = 0 THEN 'maio de 2027' END AS inspection,
+      CASE WHEN NOT conflict THEN CASE WHEN k % 2 = 0 THEN '2024-05-' || lpad(CAST(k % 28 + 1 AS VARCHAR), 2, '0') ELSE (k % 28 + 1) || ' de março de 2024 às 10:30' END END AS posted,
+      k % 13 <> 0 AS same_page FROM f""",
+)
+def detail_facts(t):
+    """Typed facts, seller, origin, date and identity of detail pages."""
+    return P.detail_facts(fact_pages(t), F.lit(2024), url="url").drop("canonical")
+
+
 @query("equipment", "SELECT p_partkey AS page_id, 'ABS,' || p_name AS equipment FROM part")
 def equipment(t):
     """Distinct cleaned equipment of detail pages."""
