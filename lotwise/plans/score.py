@@ -11,10 +11,13 @@ from lotwise.operators.matching import evaluate_criteria, fan_out, personal_fit
 from lotwise.operators.recommend import recommendation
 
 
-def value_listings(resolved: DataFrame, evaluated_at: Column, rules: C.CohortRules = C.CohortRules()) -> DataFrame:
-    """Cohort, market value and confidence once per listing, whatever number of searches it has."""
+def value_listings(
+    resolved: DataFrame, evaluated_at: Column, rules: C.CohortRules = C.CohortRules(), wanted: DataFrame | None = None
+) -> DataFrame:
+    """Cohort, market value and confidence once per listing, whatever number of searches it has;
+    only of ``wanted`` listings where these are named."""
     flagged = risk_flags(resolved)
-    valued = C.cohort_summary(flagged, evaluated_at, rules)
+    valued = C.cohort_summary(flagged, evaluated_at, rules, wanted)
     return C.valuation_confidence(C.market_value(valued), evaluated_at)
 
 
@@ -32,7 +35,8 @@ def score_all(
     are not scored; listings that a search excludes or cannot decide have no score for it.
     """
     alive = resolved.filter(~F.col("availability").isin("inactive", "sold"))
-    valued = value_listings(resolved, evaluated_at, rules).join(alive.select("listing_id"), "listing_id", "left_semi")
+    wanted = alive.select("listing_id").join(links.select("listing_id"), "listing_id", "left_semi")
+    valued = value_listings(resolved, evaluated_at, rules, wanted)
     fanned = fan_out(valued, links, searches)
     matched = personal_fit(evaluate_criteria(fanned)).filter(F.col("match_status") == "matches")
     budget = F.try_element_at("criteria", F.lit("price_range"))
