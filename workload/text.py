@@ -382,6 +382,14 @@ _ALTERED = """(SELECT vec_id, label, embedding FROM embeddings UNION ALL
   SELECT vec_id + 1000000, label, [CASE WHEN i <= vec_id % 16 THEN -embedding[i] ELSE embedding[i] END FOR i IN range(1, 65)] FROM embeddings)"""
 
 
+def altered_vectors(t):
+    """Every vector, and a copy of which the first few components have changed their sign."""
+    altered = F.transform("embedding", lambda v, i: F.when(i < F.col("vec_id") % 16, -v).otherwise(v))
+    return t.embeddings.select("vec_id", "label", "embedding").unionByName(
+        t.embeddings.select((F.col("vec_id") + 1_000_000).alias("vec_id"), "label", altered.alias("embedding"))
+    )
+
+
 @query(
     "hash_pairs",
     f"""WITH h AS (SELECT vec_id, label, {_HASH} AS hash FROM {_ALTERED}),
@@ -392,11 +400,7 @@ _ALTERED = """(SELECT vec_id, label, embedding FROM embeddings UNION ALL
 )
 def hash_pairs(t):
     """Vectors of one label, with altered copies, whose hashes differ in at most 11 bits."""
-    altered = F.transform("embedding", lambda v, i: F.when(i < F.col("vec_id") % 16, -v).otherwise(v))
-    vectors = t.embeddings.select("vec_id", "label", "embedding").unionByName(
-        t.embeddings.select((F.col("vec_id") + 1_000_000).alias("vec_id"), "label", altered.alias("embedding"))
-    )
-    h = vectors.select("vec_id", "label", sign_hash64(F.col("embedding")).alias("hash"))
+    h = altered_vectors(t).select("vec_id", "label", sign_hash64(F.col("embedding")).alias("hash"))
     pairs = image_candidates(h, "vec_id", "hash", ["label"])
     left = h.select(F.col("vec_id").alias("left_id"), F.col("hash").alias("lh"))
     right = h.select(F.col("vec_id").alias("right_id"), F.col("hash").alias("rh"))
