@@ -13,9 +13,12 @@ from __future__ import annotations
 import json
 import math
 import os
+import re
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -23,13 +26,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lotwise.llm.bpe import blocks
+from lotwise.llm.bpe import ASCII_PIECE, PIECE, byte_characters
 from lotwise.llm.common import slices
 
 MAGIC = b"LWTOKENS"
 _HEADER = struct.Struct("<8sIIIIQQQ")
 BLOCK_IDS = 8192  # a multiple of 64, so that a block is whole words of 8 bytes at any width
 VOLUME_IDS = 1 << 20  # a volume ends after the document that reaches so many
+CACHED_WORDS = 1 << 19  # different words whose ids a worker keeps
+# Characters up to U+024F are composed already; the dotted capital I alone has a lower case of two.
+_LATIN = re.compile("[\x00-\u012f\u0131-\u024f]*").fullmatch
 SHARD_ROWS = 1 << 20  # shards whose places are sent to every task; beyond, they are joined
 
 
@@ -120,15 +126,71 @@ class Volume:
         )
 
 
-@lru_cache(maxsize=2)
-def _tokenizer(path: str):
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
+class Encoder:
+    """Ids of texts by the tokenizers library, word by word.
+
+    The file's pre-tokenizer drops white space and looks at nothing across it, so the ids of a text
+    are those of its words between spaces and line ends. Words that were met before are looked up. New
+    ones of Latin letters are cut into pieces here, as the file's normalizer and pre-tokenizer do, and
+    the library's model encodes the pieces; all others go through the whole tokenizer.
+    """
 
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return tokenizer
+    def __init__(self, path: str) -> None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        added = [re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(added) or "(?!)").search
+        self.letters = dict(enumerate(byte_characters()))
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: defaultdict[str, int] = defaultdict(count().__next__)
+        self.ids, self.first = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.pieces: dict[str, tuple[int, ...]] = {}
+
+    def _encode_words(self, words: list[str]) -> tuple[list[int], list[int]]:
+        """Ids of the words, one after the other, and where each word's end."""
+        known, tokenize, special, letters = self.pieces, self.model.tokenize, self.special, self.letters
+        ids: list[int] = []
+        ends: list[int] = []
+        for word in words:
+            if _LATIN(word) and not special(word):
+                low = word.lower()
+                for piece in (ASCII_PIECE if low.isascii() else PIECE).findall(low):
+                    own = known.get(piece)
+                    if own is None:
+                        own = known[piece] = tuple([t.id for t in tokenize(piece.encode().decode("latin-1").translate(letters))])
+                    ids += own
+            else:
+                ids += self.tokenizer.encode(word, add_special_tokens=False).ids
+            ends.append(len(ids))
+        return ids, ends
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        if len(self.place) > CACHED_WORDS or len(self.ids) > 4 * CACHED_WORDS:
+            self.clear()
+        split = [t.replace("\n", " ").split(" ") for t in texts]
+        known = len(self.place)
+        place = np.fromiter(map(self.place.__getitem__, chain.from_iterable(split)), np.int64)
+        if len(self.place) > known:
+            ids, ends = self._encode_words(list(islice(self.place, known, None)))
+            self.ids = np.concatenate([self.ids, np.array(ids, np.uint32)])
+            self.first = np.concatenate([self.first, self.first[-1] + np.array(ends, np.int64)])
+        sizes = self.first[place + 1] - self.first[place]
+        ends = np.cumsum(sizes)
+        ids = self.ids[np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.first[place] - (ends - sizes), sizes)]
+        edges = np.concatenate([[0], ends])[np.cumsum([0, *map(len, split)])]
+        return [ids[x:y] for x, y in zip(edges, edges[1:])]
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> Encoder:
+    return Encoder(path)
 
 
 @lru_cache(maxsize=2)
@@ -139,31 +201,10 @@ def vocabulary_size(path: str) -> int:
     return 1 + max([*held["model"]["vocab"].values(), *(t["id"] for t in held["added_tokens"])])
 
 
-def _encode(path: str, end_id: int, bits: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _tokenizer(path)
-        for batch in batches:
-            for part in slices(batch, "text"):
-                # A long text is encoded block by block: blocks end at white space, which is dropped.
-                texts = [list(blocks(t.as_py() or "")) for t in part.column("text")]
-                found = iter(tokenizer.encode_batch_fast([b for t in texts for b in t], add_special_tokens=False))
-                counts, packed = [], []
-                for own in texts:
-                    ids = [i for _ in own for i in next(found).ids]
-                    ids.append(end_id)
-                    counts.append(len(ids))
-                    packed.append(pack(np.array(ids, np.uint64), bits))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("doc_id"), part.column("salt"), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "salt", "n_tokens", "packed"]
-                )
-
-    return run
-
-
 _VOLUMES = "shard int, volume int, first long, n_ids long, n_docs long, content binary"
 
 
-def _volumes(bits: int, block_ids: int, volume_ids: int):
+def _volumes(path: str, end_id: int, bits: int, block_ids: int, volume_ids: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, volume, first, held = TaskContext.get().partitionId(), 0, 0, 0
         parts: list[np.ndarray] = []
@@ -175,14 +216,15 @@ def _volumes(bits: int, block_ids: int, volume_ids: int):
             return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], ["shard", "volume", "first", "n_ids", "n_docs", "content"])
 
         for batch in batches:
-            for doc_id, n, data in zip(batch.column("doc_id"), batch.column("n_tokens"), batch.column("packed")):
-                ids = unpack(data.as_buffer(), bits, n.as_py())
-                parts.append(ids)
-                doc_ids.append(doc_id.as_py())
-                held += len(ids)
-                if held >= volume_ids:
-                    yield close()
-                    volume, first, held, parts, doc_ids = volume + 1, first + held, 0, [], []
+            for piece in slices(batch, "text"):
+                found = encoder(path).encode([t.as_py() or "" for t in piece.column("text")])
+                for doc_id, ids in zip(piece.column("doc_id").to_pylist(), found):
+                    parts.append(np.append(ids, np.uint32(end_id)))
+                    doc_ids.append(doc_id)
+                    held += len(parts[-1])
+                    if held >= volume_ids:
+                        yield close()
+                        volume, first, held, parts, doc_ids = volume + 1, first + held, 0, [], []
         if parts:
             yield close()
 
@@ -190,29 +232,27 @@ def _volumes(bits: int, block_ids: int, volume_ids: int):
 
 
 def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 2, block_ids: int = BLOCK_IDS, volume_ids: int = VOLUME_IDS) -> None:
-    """Encode every text, append ``end_id``, and write the ids by ascending doc_id under ``folder``.
-
-    ``path`` is a tokenizer file every worker can read, ``folder`` one that all executors share; it
-    gets ``encoded`` (documents as they were encoded) and ``volumes``. Texts are encoded once. Ranges
-    of (doc_id, hash of the text, row) are the shards, so rows that repeat an id are spread too; they
-    follow each other by that hash. A null text is empty and gives the end id alone; a null doc_id
-    comes first. ``doc_id`` must be an integer column; others are not read. A volume holds whole
-    documents, so one longer than ``volume_ids`` is a volume alone.
+    """Encode every text, append ``end_id``, and write the ids by ascending doc_id to ``folder``.
+
+    ``path`` is a tokenizer file every worker can read whose words can't reach across white space,
+    ``folder`` one that all executors share. Ranges of (doc_id, hash of the text, row) are the shards,
+    so rows that repeat an id are spread too; they follow each other by that hash. A null text is
+    empty and gives the end id alone; a null doc_id comes first. ``doc_id`` must be an integer column;
+    others are not read. A volume holds whole documents, so one longer than ``volume_ids`` is a volume
+    alone.
     """
     bits = width_of(max(vocabulary_size(path), end_id + 1))
-    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("salt"), "text")
-    given.mapInArrow(_encode(path, end_id, bits), "doc_id long, salt long, n_tokens long, packed binary").write.parquet(f"{folder}/encoded")
     order = ["doc_id", "salt", "row"]
-    encoded = docs.sparkSession.read.parquet(f"{folder}/encoded").withColumn("row", F.monotonically_increasing_id())
-    shards = encoded.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "n_tokens", "packed")
-    volumes = shards.mapInArrow(_volumes(bits, block_ids, volume_ids), _VOLUMES)
+    given = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("salt"), F.monotonically_increasing_id().alias("row"), "text")
+    shards = given.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    volumes = shards.mapInArrow(_volumes(path, end_id, bits, block_ids, volume_ids), _VOLUMES)
     # Ids are packed already; small row groups keep the memory of readers and writers low.
-    volumes.write.option("compression", "uncompressed").option("parquet.block.size", 32 << 20).parquet(f"{folder}/volumes")
+    volumes.write.option("compression", "uncompressed").option("parquet.block.size", 32 << 20).parquet(folder)
 
 
 def open_volumes(spark: SparkSession, folder: str) -> DataFrame:
     """The volumes with ``start``, the number of ids in all shards and volumes before."""
-    volumes = spark.read.parquet(f"{folder}/volumes")
+    volumes = spark.read.parquet(folder)
     # One number a shard, and shards are tasks, which the driver lists in any case.
     totals = volumes.groupBy("shard").agg(F.sum("n_ids").alias("n")).orderBy("shard").collect()
     before = np.cumsum([0, *(r["n"] for r in totals)])
