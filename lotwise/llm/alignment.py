@@ -10,8 +10,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import count, islice
 
 import numpy as np
 import pyarrow as pa
@@ -22,26 +24,22 @@ from pyspark.sql import functions as F
 from lotwise.llm.bpe import byte_characters
 from lotwise.llm.common import slices
 
-TEXT_BLOCK = 1 << 16  # characters after which a text is cut at the next safe place
 PAIRS = 1 << 20  # pairs that are spread out at once
 HELD_KEYS = 1 << 21  # pair keys a task holds before it counts them
 HEAD = 1 << 18  # the commonest pairs whose counts are sent to every task; the rest are joined
+WORDS_AT_ONCE = 512  # new words that are encoded as one text
+KNOWN_WORDS, KNOWN_LINKS = 1 << 18, 1 << 22  # words a worker keeps aligned, and links of them
 
-# Between letters a space begins a token of both kinds: no token spans the cut.
-_CUT = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+# A single space between other characters begins a token of both kinds: no token spans it, and the
+# tokens of what follows don't depend on what precedes. So texts are aligned word by word.
+_SPLIT = re.compile(r"(?<=\S) (?=\S)")
+_ODD_SPACE = re.compile(r"\s\s|^\s|\s$")
 _BYTE_PIECE = re.compile(r"<0x([0-9A-F]{2})>")
 
 
-def text_blocks(text: str) -> list[str]:
-    """Runs of a text; every run but the first has lost the space it was cut at."""
-    out, start = [], 0
-    while len(text) - start > TEXT_BLOCK:
-        cut = _CUT.search(text, start + TEXT_BLOCK)
-        if cut is None:
-            break
-        out.append(text[start : cut.start()])
-        start = cut.end()
-    return [*out, text[start:]]
+def words_of(text: str) -> list[str]:
+    """Words that lie between single spaces; other white space stays inside them."""
+    return _SPLIT.split(text) if _ODD_SPACE.search(text) else text.split(" ")
 
 
 class Pair:
@@ -71,20 +69,32 @@ class Pair:
         self.a_names = np.array([f"{i}{c}".encode() for i in range(self.n_a) for c in ",|"], object)
         self.b_names = np.array([f"{i}{c}".encode() for i in range(self.n_b) for c in ",;"], object)
 
-    def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
-        """Ids of A over space + text and of B over text; empty where the bytes of either differ."""
-        cut = [text_blocks(t) for t in texts]
-        flat = [b for own in cut for b in own]
-        of_a = iter(self.a.encode_batch_fast([" " + b for b in flat], add_special_tokens=False))
-        of_b = iter(self.b.encode(flat, num_threads=1))
-        none = np.zeros(0, np.int64)
-        out = []
-        for text, own in zip(texts, cut):
-            a = np.array([i for _ in own for i in next(of_a).ids], np.int64)
-            b = np.array([i for _ in own for i in next(of_b)], np.int64)
-            want = (" " + text).encode() if text else b""
-            same = text and b"".join(self.a_bytes[a]) == want and b"".join(self.b_bytes[b]) == want
-            out.append((a, b) if same else (none, none))
+    def encode(self, words: list[str]) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """Ids of A over space + word and of B over the word; None where the bytes of either differ.
+
+        Words go through the tokenizers many at once, as one text in which they stand between single
+        spaces; the lengths of the tokens tell them apart. Where those don't add up, one by one.
+        """
+        out: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(words)
+        together = [k for k, w in enumerate(words) if w and not w[0].isspace() and not w[-1].isspace()]
+        apart = sorted(set(range(len(words))).difference(together))
+        runs = [together[i : i + WORDS_AT_ONCE] for i in range(0, len(together), WORDS_AT_ONCE)]
+        lines = [" ".join([words[k] for k in run]) for run in runs]
+        of_a = self.a.encode_batch_fast([" " + line for line in lines], add_special_tokens=False)
+        for run, line, found, b in zip(runs, lines, of_a, self.b.encode(lines, num_threads=1)):
+            a, b, want = np.array(found.ids, np.int64), np.array(b, np.int64), (" " + line).encode()
+            if b"".join(self.a_bytes[a]) == want and b"".join(self.b_bytes[b]) == want:
+                ends = np.cumsum([len(words[k].encode()) + 1 for k in run])
+                cut_a, cut_b = (np.searchsorted(np.cumsum(sizes[x]), ends) + 1 for sizes, x in ((self.a_sizes, a), (self.b_sizes, b)))
+                for k, x, y in zip(run, np.split(a, cut_a[:-1]), np.split(b, cut_b[:-1])):
+                    out[k] = x, y
+            else:
+                apart += run
+        for k in apart:
+            a, want = np.array(self.a.encode(" " + words[k], add_special_tokens=False).ids, np.int64), (" " + words[k]).encode()
+            b = np.array(self.b.encode(words[k]), np.int64)
+            if b"".join(self.a_bytes[a]) == want and b"".join(self.b_bytes[b]) == want:
+                out[k] = a, b
         return out
 
 
@@ -123,56 +133,104 @@ def _together(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, np.ndarr
     return doc[first], key[first], np.add.reduceat(links, first) if len(first) else links
 
 
-class Aligned:
-    """Groups and links of some texts."""
+class Words:
+    """Words aligned so far: counts, the text of their groups, and their different links."""
 
-    def __init__(self, pair: Pair, texts: list[str]) -> None:
-        ids = pair.encode(texts)
-        n = len(texts)
-        self.n_a, self.n_b = (np.array([len(x[i]) for x in ids], np.int64) for i in range(2))
-        a, b = (np.concatenate([np.zeros(0, np.int64), *(x[i] for x in ids)]) for i in range(2))
-        # Texts follow each other: each ends in a boundary of both, so groups never cross them.
+    def __init__(self, pair: Pair) -> None:
+        self.pair = pair
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: defaultdict[str, int] = defaultdict(count().__next__)
+        self.lines: list[bytes] = []
+        self.counts = np.zeros((4, 0), np.int64)  # tokens of A, of B, groups, links
+        self.good = np.zeros(0, bool)
+        self.first = np.zeros(1, np.int64)  # where the links of each word begin
+        self.key, self.links = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def add(self, words: list[str]) -> None:
+        pair, n = self.pair, len(words)
+        ids = pair.encode(words)
+        none = np.zeros(0, np.int64)
+        n_a, n_b = (np.array([0 if x is None else len(x[i]) for x in ids], np.int64) for i in range(2))
+        a, b = (np.concatenate([none, *(x[i] for x in ids if x is not None)]) for i in range(2))
+        # Words follow each other: each ends in a boundary of both, so groups never cross them.
         ends_a, ends_b = np.cumsum(pair.a_sizes[a]), np.cumsum(pair.b_sizes[b])
         ends = np.intersect1d(ends_a, ends_b, assume_unique=True)
         ga, gb = np.searchsorted(ends, ends_a), np.searchsorted(ends, ends_b)
         p, q = np.bincount(ga, minlength=len(ends)), np.bincount(gb, minlength=len(ends))
-        text_a = np.repeat(np.arange(n), self.n_a)
         first_a, first_b = np.cumsum(p) - p, np.cumsum(q) - q
-        doc = text_a[first_a] if len(ends) else np.zeros(0, np.int64)
-        self.n_groups = np.bincount(doc, minlength=n)
-        self.n_links = np.zeros(n, np.int64)
-        np.add.at(self.n_links, doc, p * q)
-        self.digests = self._digests(pair, a, b, ga, gb, p, q)
+        word = np.repeat(np.arange(n), n_a)[first_a] if len(ends) else none
+        n_links = np.zeros(n, np.int64)
+        np.add.at(n_links, word, p * q)
         regular = (p == 1) & (q == 1)
         regular[regular] = pair.same[a[first_a[regular]]] == b[first_b[regular]]
-        at, others = first_a[regular], ~regular
-        keys_a = a[at]
-        parts = [(doc[regular], keys_a * pair.n_b + pair.same[keys_a], np.ones(len(at), np.int64))]
-        in_a, in_b = others[ga], others[gb]
-        for part in _spread(*_counted(ga[in_a], a[in_a], pair.n_a), *_counted(gb[in_b], b[in_b], pair.n_b), pair.n_b, doc):
+        own = a[first_a[regular]]
+        parts = [(word[regular], own * pair.n_b + pair.same[own], np.ones(len(own), np.int64))]
+        in_a, in_b = ~regular[ga], ~regular[gb]
+        for part in _spread(*_counted(ga[in_a], a[in_a], pair.n_a), *_counted(gb[in_b], b[in_b], pair.n_b), pair.n_b, word):
             parts.append(_together([part]))
-        self.doc, self.key, self.links = _together(parts)
-        self.same = pair.same[self.key // pair.n_b] == self.key % pair.n_b
-
-    def _digests(self, pair: Pair, a, b, ga, gb, p, q) -> list[str]:
-        """SHA-256 of `a1,a2|b1;a3|b2,b3` for each text; empty for one without tokens."""
-        last_a, last_b = np.cumsum(p) - 1, np.cumsum(q) - 1
+        of_word, key, links = _together(parts)
+        self.lines += self._lines(a, b, n_a, n_b, ga, gb, p, q)
+        self.counts = np.hstack([self.counts, np.vstack([n_a, n_b, np.bincount(word, minlength=n), n_links])])
+        self.good = np.concatenate([self.good, [x is not None for x in ids]])
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.bincount(of_word, minlength=n))])
+        self.key, self.links = np.concatenate([self.key, key]), np.concatenate([self.links, links])
+
+    def _lines(self, a, b, n_a, n_b, ga, gb, p, q) -> list[bytes]:
+        """`a1,a2|b1;a3|b2,b3` for each word."""
         ends_a, ends_b = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
-        ends_a[last_a], ends_b[last_b] = 1, 1
+        ends_a[np.cumsum(p) - 1], ends_b[np.cumsum(q) - 1] = 1, 1
         line = np.empty(len(a) + len(b), object)
-        line[np.arange(len(a)) + (np.cumsum(q) - q)[ga]] = pair.a_names[2 * a + ends_a]
-        line[np.arange(len(b)) + np.cumsum(p)[gb]] = pair.b_names[2 * b + ends_b]
-        edges = np.cumsum(np.concatenate([[0], self.n_a + self.n_b]))
-        return [hashlib.sha256(b"".join(line[x:y])[:-1]).hexdigest() if y > x else "" for x, y in zip(edges, edges[1:])]
+        line[np.arange(len(a)) + (np.cumsum(q) - q)[ga]] = self.pair.a_names[2 * a + ends_a]
+        line[np.arange(len(b)) + np.cumsum(p)[gb]] = self.pair.b_names[2 * b + ends_b]
+        edges = np.cumsum(np.concatenate([[0], n_a + n_b]))
+        return [b"".join(line[x:y])[:-1] for x, y in zip(edges, edges[1:])]
+
+    def places(self, texts: list[str]) -> list[np.ndarray]:
+        """Places of the words of each text; none if it is empty or a word's bytes differ."""
+        if len(self.place) > KNOWN_WORDS or len(self.key) > KNOWN_LINKS:
+            self.clear()
+        split = [words_of(t) if t else [] for t in texts]
+        known = len(self.place)
+        found = [np.fromiter(map(self.place.__getitem__, own), np.int64, len(own)) for own in split]
+        if len(self.place) > known:
+            self.add(list(islice(self.place, known, None)))
+        return [x if self.good[x].all() else x[:0] for x in found]
+
+
+class Aligned:
+    """Counts, digests and different links of some texts, put together from those of their words."""
+
+    def __init__(self, words: Words, texts: list[str]) -> None:
+        found = words.places(texts)
+        n = len(texts)
+        doc, place = np.repeat(np.arange(n), [len(x) for x in found]), np.concatenate([np.zeros(0, np.int64), *found])
+        counts = np.zeros((4, n), np.int64)
+        for i in range(4):
+            np.add.at(counts[i], doc, words.counts[i][place])
+        self.n_a, self.n_b, self.n_groups, self.n_links = counts
+        line = words.lines.__getitem__
+        self.digests = [hashlib.sha256(b";".join(map(line, x.tolist()))).hexdigest() if len(x) else "" for x in found]
+        doc, place, times = _counted(doc, place, max(len(words.lines), 1))
+        sizes = words.first[place + 1] - words.first[place]
+        at = np.arange(sizes.sum()) + np.repeat(words.first[place] - (np.cumsum(sizes) - sizes), sizes)
+        self.doc, self.key, self.links = _together([(np.repeat(doc, sizes), words.key[at], words.links[at] * np.repeat(times, sizes))])
+        self.same = words.pair.same[self.key // words.pair.n_b] == self.key % words.pair.n_b
+
+
+@lru_cache(maxsize=1)
+def known_words(a_path: str, b_path: str) -> Words:
+    return Words(load(a_path, b_path))
 
 
 def _align(a_path: str, b_path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair = load(a_path, b_path)
-        row = TaskContext.get().partitionId() << 40
+        words = known_words(a_path, b_path)
+        pair, row = words.pair, TaskContext.get().partitionId() << 40
         for batch in batches:
             for part in slices(batch, "text"):
-                got = Aligned(pair, [t.as_py() or "" for t in part.column("text")])
+                got = Aligned(words, [t.as_py() or "" for t in part.column("text")])
                 edges = np.searchsorted(got.doc, np.arange(part.num_rows + 1))
                 held: dict[str, list[bytes]] = {"same": [], "same_links": [], "keys": [], "key_links": []}
                 for x, y in zip(edges, edges[1:]):
