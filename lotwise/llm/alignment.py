@@ -292,7 +292,7 @@ def _count_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _head_from(counts: DataFrame, head: int) -> int:
     """Least power of two that at most ``head`` counts reach."""
     steps = counts.groupBy((F.length(F.bin("n")) - 1).alias("step")).count().orderBy(F.desc("step")).collect()
-    total, step = 0, 63
+    total, step = 0, 62
     for r in steps:
         total += r["count"]
         if total > head:

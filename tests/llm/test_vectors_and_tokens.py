@@ -31,7 +31,7 @@ def test_principal_directions(n):
     rng = np.random.default_rng(n)
     samples = [rng.normal(size=(200, n)), np.diag(np.arange(n, 0, -1.0)) + 0.0, np.eye(n), np.zeros((n, n)), rng.normal(size=(200, n)) * np.logspace(0, -6, n)]
     samples.append(np.diag(1 + 1e-13 * rng.normal(size=n)) @ np.linalg.qr(rng.normal(size=(n, n)))[0])
-    constant = rng.normal(size=(50, n))
+    constant = rng.normal(size=(150, n))
     constant[:, 0] = 0
     samples.append(constant)
     for x in samples:
