@@ -1,7 +1,7 @@
 """Running values per key that do not put a whole key into one task.
 
 A plain window sorts all rows of a key in one task. Here a key is cut into chunks (a day, a block
-of positions): a window runs inside each chunk, each chunk is reduced to one carry value, and the
+of positions, a measured number of rows): a window runs inside each chunk, each chunk is reduced to one carry value, and the
 carries run over the few chunks of the key. Rows join their carry on (key, chunk).
 """
 
@@ -10,6 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.session import ensure_checkpoint_dir
+
+# Rows of a measured chunk, which one task sorts.
+CHUNK_ROWS = 1_000_000
+
 
 def running(
     df: DataFrame,
@@ -64,6 +69,21 @@ def running(
     return joined.withColumns(out).drop(*drop)
 
 
+def measured_chunks(df: DataFrame, key: list[str], order: list[str], rows: int = CHUNK_ROWS, name: str = "_part") -> DataFrame:
+    """Add a chunk of at most ``rows`` rows that does not decrease along ``order`` inside a key.
+
+    Rows are dealt out by ranges of key and order, sized by sampling whatever a key or a time holds,
+    and each range is cut by position. ``order`` should tell rows of a key apart; equal rows are
+    placed as they come. Written to the shared folder, so that chunks stay what they are when a task
+    runs again.
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    dealt = df.repartitionByRange(*key, *order).withColumn("_range", F.spark_partition_id())
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(*key, *order))
+    chunk = F.struct(F.col("_range").alias("range"), F.floor((place - 1) / F.lit(rows)).alias("piece"))
+    return dealt.withColumn(name, chunk).drop("_range").checkpoint()
+
+
 def day_of(at: str) -> Column:
     """Chunk by calendar day."""
     return F.to_date(F.col(at))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lotwise.operators.ordered import day_of, running
+from lotwise.operators.ordered import CHUNK_ROWS, measured_chunks, running
 
 # Days until a detail page is captured again.
 SUCCESS_COOLDOWN_DAYS = 7
@@ -45,19 +45,21 @@ def capture_cooldown(attempts: DataFrame, details: DataFrame, now: Column, resta
     )
 
 
-def circuit_breaker(log: DataFrame) -> DataFrame:
+def circuit_breaker(log: DataFrame, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
     """Pause episodes from a log of control rows (at, kind pause|resume, seq).
 
     Only the first pause of an episode opens it; the next resume closes it. One control switch
-    has one log, which is cut into days so that it is not sorted in one task.
+    has one log, which is cut into chunks of ``chunk_rows``, so that it is not sorted in one task,
+    however many rows a day has.
     """
-    one = log.withColumn("_switch", F.lit(1))
+    one = measured_chunks(log.withColumn("_switch", F.lit(1)), ["_switch"], ["at", "seq"], chunk_rows)
+    chunk = F.col("_part")
     paused = F.col("kind") == "pause"
-    previous = running(one, ["_switch"], day_of("at"), ["at", "seq"], {"_before": ("last", F.col("kind"))}, inclusive=False)
+    previous = running(one, ["_switch"], chunk, ["at", "seq"], {"_before": ("last", F.col("kind"))}, inclusive=False)
     opens = previous.filter(paused & (F.col("_before").isNull() | (F.col("_before") != "pause")))
     closes = previous.filter(~paused & (F.col("_before") == "pause"))
-    numbered = running(opens, ["_switch"], day_of("at"), ["at", "seq"], {"generation": ("sum", F.lit(1))})
-    ended = running(closes, ["_switch"], day_of("at"), ["at", "seq"], {"generation": ("sum", F.lit(1))})
+    numbered = running(opens, ["_switch"], chunk, ["at", "seq"], {"generation": ("sum", F.lit(1))})
+    ended = running(closes, ["_switch"], chunk, ["at", "seq"], {"generation": ("sum", F.lit(1))})
     return numbered.select("generation", F.col("at").alias("paused_at")).join(
         ended.select("generation", F.col("at").alias("resumed_at")), "generation", "left"
     )

@@ -165,6 +165,39 @@ def test_running_values_do_not_depend_on_chunks(spark):
     assert results[0] == results[1]
 
 
+def test_no_chunk_of_a_one_day_log_is_too_large(spark):
+    """A switch with all its rows in one day: chunks of a stated size, and episodes as of one sort."""
+    from lotwise.operators.ordered import measured_chunks
+    from lotwise.operators.queues import circuit_breaker
+
+    rng = random.Random(5)
+    rows = [(hour(0) + datetime.timedelta(seconds=rng.randrange(3000)), i, rng.choice(["pause", "resume"])) for i in range(3000)]
+    log = spark.createDataFrame(rows, "at timestamp, seq bigint, kind string")
+    parts = measured_chunks(log.withColumn("k", F.lit(1)), ["k"], ["at", "seq"], 100).orderBy("at", "seq").collect()
+    sizes = {}
+    for r in parts:
+        sizes[tuple(r["_part"])] = sizes.get(tuple(r["_part"]), 0) + 1
+    assert max(sizes.values()) <= 100 and list(sizes) == sorted(sizes)
+    episodes, before = [], None
+    for at, _, kind in sorted(rows):
+        if kind == "pause" and before != "pause":
+            episodes.append([at, None])
+        elif kind == "resume" and before == "pause":
+            episodes[-1][1] = at
+        before = kind
+    got = [(r["paused_at"], r["resumed_at"]) for r in circuit_breaker(log, 100).orderBy("generation").collect()]
+    assert got == [tuple(e) for e in episodes]
+
+
+def test_lifecycle_by_measured_chunks(spark):
+    from lotwise.operators.ordered import measured_chunks
+
+    rows = logs(13, 12, 16)
+    df = measured_chunks(spark.createDataFrame(rows, LOG), ["listing_id"], ["at", "seq"], 5)
+    got = H.lifecycle_state(df, "listing_id", "at", "kind", ["at", "seq"], chunk=F.col("_part")).collect()
+    check(rows, {r["listing_id"]: r for r in got})
+
+
 def test_late_prices_change_nothing(spark):
     rows = [(1, hour(0), 0, 1000_00), (1, hour(5), 1, 900_00), (1, hour(2), 2, 500_00), (1, hour(6), 3, 900_00), (1, hour(7), 4, 895_00)]
     df = spark.createDataFrame(rows, "listing_id bigint, at timestamp, seq bigint, price bigint")
