@@ -304,16 +304,50 @@ def mark_sold(state: DataFrame, sold: DataFrame, key: str = "listing_id") -> Dat
     ).drop("_at", "_why")
 
 
+def _scan_places(links: DataFrame, observed: DataFrame, scans: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(places, points): the complete scans of each search numbered by time, and for each link the
+    numbers at which it was there, from the last scan that was not after its first sight on, each with
+    the number of the next such scan.
+
+    Links and scans are merged by time and counted, so no link meets a scan that saw it.
+    """
+    full = scans.filter("complete_snapshot").select("search_id", "at").distinct()
+    born = links.groupBy("listing_id", "search_id").agg(F.min("first_seen_at").alias("at"))
+    marks = full.withColumns({"listing_id": F.lit(None).cast(links.schema["listing_id"].dataType), "is_link": F.lit(0)}).unionByName(
+        born.withColumn("is_link", F.lit(1))
+    )
+    # A scan at the very time of the first sight comes before it: it does not expect the link.
+    counted = running(marks, ["search_id"], day_of("at"), ["at", "is_link"], {"place": ("sum", 1 - F.col("is_link"))})
+    places = counted.filter("is_link = 0").select("search_id", "at", "place")
+    starts = counted.filter("is_link = 1").select("listing_id", "search_id", "place")
+    seen = observed.select("listing_id", "search_id", "at").distinct().join(places, ["search_id", "at"])
+    later = seen.join(starts.withColumnRenamed("place", "_start"), ["listing_id", "search_id"]).filter("place > _start")
+    points = starts.unionByName(later.select("listing_id", "search_id", "place"))
+    ends = places.groupBy("search_id").agg((F.max("place") + 1).alias("_end"))
+    following = F.lead("place").over(Window.partitionBy("listing_id", "search_id").orderBy("place"))
+    points = points.withColumn("_next", following).join(ends, "search_id").withColumn("next", F.coalesce("_next", "_end")).withColumn("last", F.col("_next").isNull())
+    return places, points.select("listing_id", "search_id", "place", "next", "last")
+
+
 def missed_listings(links: DataFrame, observed: DataFrame, scans: DataFrame) -> DataFrame:
     """Linked listings a complete scan did not see: listing_id, search_id, at.
 
-    ``links``: listing_id, search_id, first_seen_at. ``scans``: search_id, at, complete_snapshot.
+    ``links``: listing_id, search_id, first_seen_at. ``observed``: listing_id, search_id, at.
+    ``scans``: search_id, at, complete_snapshot; those of one batch, or of all time. The work grows
+    with the links, the sights and what was missed, not with links times scans.
     """
-    full = scans.filter("complete_snapshot").select("search_id", "at")
-    expected = links.join(full, "search_id").filter(F.col("first_seen_at") < F.col("at"))
-    return expected.select("listing_id", "search_id", "at").join(
-        observed.select("listing_id", "search_id", "at"), ["listing_id", "search_id", "at"], "left_anti"
-    )
+    places, points = _scan_places(links, observed, scans)
+    gaps = points.filter(F.col("next") > F.col("place") + 1)
+    missed = gaps.select("listing_id", "search_id", F.explode(F.sequence(F.col("place") + 1, F.col("next") - 1)).alias("place"))
+    return missed.join(places, ["search_id", "place"]).select("listing_id", "search_id", "at")
+
+
+def misses_since_seen(links: DataFrame, observed: DataFrame, scans: DataFrame) -> DataFrame:
+    """One row per link: how many complete scans in a row, up to the last one, did not see it."""
+    _, points = _scan_places(links, observed, scans)
+    counts = points.filter("last").select("listing_id", "search_id", (F.col("next") - F.col("place") - 1).alias("misses"))
+    every = links.select("listing_id", "search_id").distinct().join(counts, ["listing_id", "search_id"], "left")
+    return every.withColumn("misses", F.coalesce("misses", F.lit(0)).cast("bigint"))
 
 
 def history_document(df: DataFrame, key: str, order: list[str], columns: list[str], name: str) -> DataFrame:

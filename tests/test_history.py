@@ -198,6 +198,29 @@ def test_lifecycle_by_measured_chunks(spark):
     check(rows, {r["listing_id"]: r for r in got})
 
 
+def test_missed_listings_like_all_links_times_all_scans(spark):
+    rng = random.Random(17)
+    links = [(i, s, hour(rng.randrange(40))) for s in range(3) for i in range(12)]
+    scans = [(s, hour(h), rng.random() < 0.7) for s in range(4) for h in range(0, 48, 4)]
+    seen = [(i, s, at) for i, s, born in links for t, at, _ in scans if t == s and at >= born and rng.random() < 0.5]
+    seen += [(99, 0, hour(8)), (0, 3, hour(8)), (1, 1, hour(9))]
+    a = spark.createDataFrame(links, "listing_id bigint, search_id bigint, first_seen_at timestamp")
+    b = spark.createDataFrame(seen + seen[:5], "listing_id bigint, search_id bigint, at timestamp")
+    c = spark.createDataFrame(scans, "search_id bigint, at timestamp, complete_snapshot boolean")
+    want = {(i, s, at) for i, s, born in links for t, at, whole in scans if t == s and whole and born < at and (i, s, at) not in seen}
+    got = [tuple(r) for r in H.missed_listings(a, b, c).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    streaks = {}
+    for i, s, born in links:
+        streak = 0
+        for t, at, whole in scans:
+            if t == s and whole and born < at:
+                streak = streak + 1 if (i, s, at) in want else 0
+        streaks[i, s] = streak
+    assert {(r["listing_id"], r["search_id"]): r["misses"] for r in H.misses_since_seen(a, b, c).collect()} == streaks
+    assert H.missed_listings(a, b, c.limit(0)).count() == 0
+
+
 def test_late_prices_change_nothing(spark):
     rows = [(1, hour(0), 0, 1000_00), (1, hour(5), 1, 900_00), (1, hour(2), 2, 500_00), (1, hour(6), 3, 900_00), (1, hour(7), 4, 895_00)]
     df = spark.createDataFrame(rows, "listing_id bigint, at timestamp, seq bigint, price bigint")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lotwise.functions.geo import approximate_km
 from lotwise.operators import overlay as O
 from lotwise.operators.geo import centroids, geocode_join
-from lotwise.operators.history import missed_listings
+from lotwise.operators.history import misses_since_seen, missed_listings
 from lotwise.operators.rank import next_capture_batch
 from lotwise.plans.detail import listing_detail
 from lotwise.plans.normalize import detail_merge
@@ -106,6 +106,25 @@ seen AS (SELECT DISTINCT l_partkey AS listing_id, l_suppkey AS search_id, date_t
 scans AS (SELECT DISTINCT search_id, scan_at, year(scan_at) % 2 = 0 AS complete_snapshot FROM seen)"""
 
 
+def _scans(t):
+    """(sights, scans): yearly scans, complete in even years."""
+    at = (F.date_trunc("year", "l_shipdate") + F.expr("INTERVAL 1 YEAR")).alias("at")
+    seen = t.lineitem.select(F.col("l_partkey").alias("listing_id"), F.col("l_suppkey").alias("search_id"), at).distinct()
+    return seen, seen.select("search_id", "at").distinct().withColumn("complete_snapshot", F.year("at") % 2 == 0)
+
+
+@query(
+    "link_misses",
+    f"WITH {_SCANS}"
+    + """, last_sight AS (SELECT listing_id, search_id, max(scan_at) AS scan_at FROM seen JOIN scans USING (search_id, scan_at) WHERE complete_snapshot GROUP BY ALL)
+    SELECT l.listing_id, l.search_id, count(s.scan_at) AS misses FROM links l LEFT JOIN last_sight o ON o.listing_id = l.listing_id AND o.search_id = l.search_id
+      LEFT JOIN scans s ON s.search_id = l.search_id AND s.complete_snapshot AND s.scan_at > l.first_seen_at AND (o.scan_at IS NULL OR s.scan_at > o.scan_at) GROUP BY ALL""",
+)
+def link_misses(t):
+    """Complete scans in a row, up to the last, that did not see a listing of their search."""
+    return misses_since_seen(M.links(t), *_scans(t))
+
+
 @query(
     "missed_listings",
     f"WITH {_SCANS}"
@@ -114,10 +133,7 @@ scans AS (SELECT DISTINCT search_id, scan_at, year(scan_at) % 2 = 0 AS complete_
 )
 def missed(t):
     """Listings that complete scans did not see again."""
-    at = (F.date_trunc("year", "l_shipdate") + F.expr("INTERVAL 1 YEAR")).alias("at")
-    seen = t.lineitem.select(F.col("l_partkey").alias("listing_id"), F.col("l_suppkey").alias("search_id"), at).distinct()
-    scans = seen.select("search_id", "at").distinct().withColumn("complete_snapshot", F.year("at") % 2 == 0)
-    return missed_listings(M.links(t), seen, scans).select("listing_id", "search_id", F.year("at").alias("scan_year"))
+    return missed_listings(M.links(t), *_scans(t)).select("listing_id", "search_id", F.year("at").alias("scan_year"))
 
 
 @query(
