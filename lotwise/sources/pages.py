@@ -635,66 +635,7 @@ def script_text(nodes: Column) -> Column:
     return unescape_embedded(X.let(scripts, joined))
 
 
-def _property(source: Column, names: list[str], value: str) -> Column:
-    """First value of the first alias found as a property in script text."""
-    tries = [
-        F.nullif(F.regexp_extract(source, f"(?i)(?:^|[\\[{{,])\\s*[\"']?{name}[\"']?\\s*:\\s*{value}", 1), F.lit(""))
-        for name in names
-    ]
-    return F.coalesce(*tries)
-
-
 _STRING = "\"((?:\\\\.|[^\"\\\\])*)\""
-_NUMBER = "[\"']?(-?\\d+(?:\\.\\d+)?)"
-
-
-def _string_property(source: Column, names: list[str]) -> Column:
-    nested = "\\{[^{}]*?[\"']?(?:value|name|display_name|displayName|label)[\"']?\\s*:\\s*" + _STRING
-    return unescape_string(F.coalesce(_property(source, names, _STRING), _property(source, names, nested)))
-
-
-def _number_property(source: Column, names: list[str]) -> Column:
-    nested = "\\{[^{}]*?[\"']?(?:value|amount|number)[\"']?\\s*:\\s*" + _NUMBER
-    return F.coalesce(_property(source, names, _NUMBER), _property(source, names, nested)).try_cast("double")
-
-
-# Property aliases of embedded listing data.
-EMBEDDED = {
-    "year": ["vehicle_year", "vehicleYear", "model_year", "modelYear"],
-    "make": ["vehicle_make_display_name", "vehicle_make", "vehicleMake", "make"],
-    "model": ["vehicle_model_display_name", "vehicle_model", "vehicleModel", "model"],
-    "trim": ["vehicle_trim_display_name", "vehicle_trim", "vehicleTrim", "trim"],
-    "fuel": ["vehicle_fuel_type", "vehicle_fuel", "fuel_type", "fuelType", "fuel"],
-    "gearbox": ["vehicle_transmission_type", "vehicle_transmission", "transmission_type", "transmissionType", "transmission"],
-    "specifications": ["vehicle_specifications", "vehicleSpecifications", "specifications"],
-    "power": ["horse_power", "horsepower", "power_hp", "powerHp"],
-    "odometer": ["vehicle_odometer_data", "odometer_data", "odometerData"],
-    "condition": ["vehicle_condition", "condition"],
-    "listing_condition": ["listing_condition", "listingCondition"],
-}
-
-
-def embedded_facts(source: Column) -> Column:
-    """struct of vehicle facts found in script text."""
-    odometer = _property(source, EMBEDDED["odometer"], "\\{([^{}]*)\\}")
-    # Only the listing's own specifications; they may hold objects themselves.
-    specifications = F.concat(F.lit("{"), _property(source, EMBEDDED["specifications"], "\\{((?:[^{}]|\\{[^{}]*\\})*)\\}"))
-    km = X.structured_odometer(
-        _number_property(odometer, ["value", "amount"]), _string_property(odometer, ["unit", "units"])
-    )
-    named = X.split_model_display(_string_property(source, EMBEDDED["model"]), _string_property(source, EMBEDDED["trim"]))
-    return F.struct(
-        X.structured_year(_number_property(source, EMBEDDED["year"])).alias("year"),
-        km.alias("mileage"),
-        X.clean_structured(_string_property(source, EMBEDDED["make"])).alias("make"),
-        named["model"].alias("model"),
-        named["variant"].alias("variant"),
-        X.structured_fuel(_string_property(source, EMBEDDED["fuel"])).alias("fuel"),
-        X.structured_gearbox(_string_property(source, EMBEDDED["gearbox"])).alias("gearbox"),
-        X.structured_power(_number_property(specifications, EMBEDDED["power"])).alias("power_hp"),
-        X.clean_structured(_string_property(source, EMBEDDED["condition"])).alias("condition"),
-        X.clean_structured(_string_property(source, EMBEDDED["listing_condition"])).alias("listing_condition"),
-    )
 
 
 def description_candidates(nodes: Column) -> Column:

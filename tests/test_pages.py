@@ -112,3 +112,33 @@ def test_facts_of_one_page(spark):
     row = P.detail_facts(df, F.lit(2024), url="url").first()
     assert (row["make"], row["model"], row["mileage"], row["power_hp"], row["year"], row["imported"]) == ("Volkswagen", "Golf", 85_000, 148, 2019, True)
     assert (row["posted"], row["same_page"], row["seller_type"], row["fuel"]) == ("3 de maio de 2024", True, None, None)
+
+
+def test_embedded_data_of_any_depth():
+    from lotwise.sources.embedded import embedded_values
+
+    deep = "{" + '"a":{' * 50 + '"horse_power":{"value":150}' + "}" * 50 + "}"
+    html = (
+        '<script>call("x",{"feed":{"horse_power":999,"specs":{"horsepower":888}},"vehicle_specifications":' + deep
+        + ',"vehicle_make":null,"vehicleMake":{"z":{"q":1},"name":"B\\u004dW"},"vehicle_odometer_data":{"raw":{"value":"x}"},"unit":"MILES","value":1000.5},'
+        + "'transmission':'it\\'s manual',\"trim\":7});</script><p>{\"vehicle_year\":1999}</p>"
+    )
+    got = embedded_values(html)
+    assert (got["power"], got["odometer_unit"], got["gearbox"], got["trim"], got["year"]) == ("150", "MILES", "it\\'s manual", "7", None)
+    assert got["make"] == "B\\u004dW" and got["odometer_value"] == "x}"
+    assert embedded_values(None) == embedded_values("<script>{{{</script>") == dict.fromkeys(got)
+    # An object that never ends has no span; the next one counts.
+    cut = '<script>{"vehicle_specifications":{"horse_power":1,</script><script>"specifications":{"power_hp":90}</script>'
+    assert embedded_values(cut)["power"] == "90"
+
+
+def test_embedded_objects_are_measured_once():
+    from lotwise.sources.embedded import embedded_values
+
+    def seconds(n):
+        start = time.process_time()
+        embedded_values("<script>" + '{"vehicle_make":{"x":' * n + "</script>")
+        return time.process_time() - start
+
+    seconds(100)
+    assert seconds(400) < 60 * max(seconds(100), 0.002)

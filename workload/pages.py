@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions.urls import canonical_url, safe_image_url, safe_page_path
 from lotwise.sources import pages as P
+from lotwise.sources.embedded import embedded_facts
 from workload import query
 
 _HIDDEN = "(?is)<script\\b.*?</script\\s*>|<style\\b.*?</style\\s*>|<noscript\\b.*?</noscript\\s*>|<!--.*?-->|<!doctype[^>]*>"
@@ -294,7 +295,16 @@ def detail_pages(t):
         F.when(F.col("p_partkey") % 2 == 0, F.lit("MILES")).otherwise(F.lit("KM")),
         F.lit("&quot;,&quot;value&quot;:"),
         (F.col("p_size") * 1000).cast("string"),
-        F.lit("},&quot;vehicle_fuel_type&quot;:&quot;DIESEL&quot;}</script></body></html>"),
+        F.lit("},&quot;vehicle_fuel_type&quot;:&quot;"),
+        F.when(F.col("p_size") % 3 == 0, F.lit("GASOLINE")).when(F.col("p_size") % 3 == 1, F.lit("DIESEL")).otherwise(F.lit("PLUG_IN_HYBRID")),
+        # Objects in objects, brackets inside texts, and a neighbour whose power is not this one's.
+        F.lit("&quot;,&quot;neighbour&quot;:{&quot;specs&quot;:{&quot;horse_power&quot;:999}},&quot;vehicle_transmission&quot;:{&quot;meta&quot;:{&quot;deep&quot;:{}},&quot;name&quot;:{&quot;label&quot;:&quot;"),
+        F.when(F.col("p_partkey") % 4 < 2, F.lit("Automática")).otherwise(F.lit("Manual")),
+        F.lit("&quot;}},&quot;vehicle_specifications&quot;:{&quot;note&quot;:&quot;a } b { c&quot;,&quot;engine&quot;:{&quot;parts&quot;:[{&quot;x&quot;:{}}],"),
+        F.when(F.col("p_partkey") % 5 > 0, F.concat(F.lit("&quot;horse_power&quot;:{&quot;unit&quot;:{},&quot;value&quot;:"), (F.col("p_size") + 60).cast("string"), F.lit("}"))).otherwise(F.lit("&quot;y&quot;:1")),
+        F.lit("}},&quot;vehicle_condition&quot;:&quot;USED&quot;,&quot;listing_condition&quot;:{&quot;value&quot;:&quot;PC_USED_"),
+        F.when(F.col("p_partkey") % 2 == 0, F.lit("GOOD")).otherwise(F.lit("FAIR")),
+        F.lit("&quot;}}</script></body></html>"),
     )
     return over_cores(t, t.part.select(F.col("p_partkey").alias("page_id"), html.alias("html")))
 
@@ -388,13 +398,13 @@ def detail_description(t):
 @query(
     "embedded_facts",
     """SELECT p_partkey AS page_id, p_brand AS make, p_type AS model, p_name AS variant, 1990 + p_size AS year,
-      CAST(floor(CASE WHEN p_partkey % 2 = 0 THEN p_size * 1000 * 1.609344 ELSE p_size * 1000 END + 0.5) AS BIGINT) AS mileage, 'diesel' AS fuel FROM part""",
+      CAST(floor(CASE WHEN p_partkey % 2 = 0 THEN p_size * 1000 * 1.609344 ELSE p_size * 1000 END + 0.5) AS BIGINT) AS mileage,
+      CASE p_size % 3 WHEN 0 THEN 'petrol' WHEN 1 THEN 'diesel' ELSE 'plug_in_hybrid' END AS fuel, CASE WHEN p_partkey % 4 < 2 THEN 'automatic' ELSE 'manual' END AS gearbox,
+      CASE WHEN p_partkey % 5 > 0 THEN p_size + 60 END AS power_hp, 'USED' AS condition, CASE WHEN p_partkey % 2 = 0 THEN 'PC_USED_GOOD' ELSE 'PC_USED_FAIR' END AS listing_condition FROM part""",
 )
 def embedded(t):
     """Vehicle facts in script data of detail pages."""
-    df = P.page_nodes(detail_pages(t)).withColumn("source", P.script_text(F.col("nodes")))
-    df = df.select("page_id", P.embedded_facts(F.col("source")).alias("f"))
-    return df.select("page_id", *[F.col(f"f.{c}").alias(c) for c in ("make", "model", "variant", "year", "mileage", "fuel")])
+    return embedded_facts(detail_pages(t))
 
 
 @query(
