@@ -27,7 +27,7 @@ def running(
     """Add running ``sum``, ``max``, ``min`` or ``last`` (non-null) columns.
 
     ``chunk`` must not decrease along ``order``. With ``inclusive=False`` a row sees only the rows
-    before it.
+    before it. ``order`` may hold sort expressions (descending, nulls last) unless ``last`` is asked for.
     """
     df = df.withColumn("_chunk", chunk)
     inside = (
@@ -35,11 +35,11 @@ def running(
         .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
     )
-    place = F.struct(*order)
     within, totals = {}, []
     for name, (kind, value) in values.items():
         if kind == "last":
             within[f"_in_{name}"] = F.last(value, ignorenulls=True).over(inside)
+            place = F.struct(*order)
             totals.append(F.max(F.when(value.isNotNull(), F.struct(place.alias("o"), value.alias("v"))))["v"].alias(f"_t_{name}"))
         else:
             aggregate = getattr(F, kind)
@@ -69,7 +69,7 @@ def running(
     return joined.withColumns(out).drop(*drop)
 
 
-def measured_chunks(df: DataFrame, key: list[str], order: list[str], rows: int = CHUNK_ROWS, name: str = "_part") -> DataFrame:
+def measured_chunks(df: DataFrame, key: list[str], order: list, rows: int = CHUNK_ROWS, name: str = "_part") -> DataFrame:
     """Add a chunk of at most ``rows`` rows that does not decrease along ``order`` inside a key.
 
     Rows are dealt out by ranges of key and order, sized by sampling whatever a key or a time holds,

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lotwise.operators.ordered import CHUNK_ROWS, measured_chunks, running
 from lotwise.session import ensure_checkpoint_dir
 
 INBOX_SIZE = 250
@@ -188,9 +189,14 @@ def renumber_priorities(searches: DataFrame, order: list[str], ident: str = "sea
     return dealt.join(starts, "_range").withColumn("priority", (inside + F.col("_before")).cast("int")).drop("_range", "_before")
 
 
-def rank_members(df: DataFrame, group: list[str], order: list) -> DataFrame:
-    """Add rank, starting at 0, inside each group."""
-    return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order)) - 1)
+def rank_members(df: DataFrame, group: list[str], order: list, chunk_rows: int = CHUNK_ROWS) -> DataFrame:
+    """Add rank, starting at 0, inside each group.
+
+    ``order`` tells the rows of a group apart. Groups are cut into chunks of ``chunk_rows``, so that no
+    task sorts a whole one; a row's place is its place in the chunk and the rows of the chunks before.
+    """
+    parts = measured_chunks(df, group, order, chunk_rows)
+    return running(parts, group, F.col("_part"), order, {"rank": ("sum", F.lit(1))}, inclusive=False).drop("_part")
 
 
 def summary_counts(df: DataFrame, **flags: Column) -> DataFrame:

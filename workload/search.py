@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lotwise.functions.keys import criteria_fingerprint, sha256_key
 from lotwise.functions.text import model_target_key
 from lotwise.operators.classify import classify_titles, default_rules, plain_pattern, risk_flags
 from lotwise.operators.matching import best_match_status, evaluate_criteria, fan_out, personal_fit, plausible_listings
-from lotwise.operators.quality import issue_counts, model_batch, normalize_searches, validate_searches
-from lotwise.operators.rank import inbox_filter, inbox_join, search_order, summary_counts
+from lotwise.operators import rules as R
+from lotwise.operators.quality import RADII, issue_counts, model_batch, normalize_searches, validate_searches
+from lotwise.operators.rank import inbox_filter, inbox_join, rank_members, search_order, summary_counts
 from lotwise.operators.scans import eligible_searches, verification_state
 from workload import market as M
 from workload import query
@@ -217,18 +217,9 @@ def ordered_searches(t):
     s = t.supplier.select(
         F.col("s_suppkey").alias("search_id"), (F.col("s_suppkey") % 5 + 1).cast("int").alias("priority"), F.col("s_acctbal").alias("created_at")
     )
-    ordered = search_order(s)
-    # A search's place is its place inside its priority plus the searches of better priorities.
-    # There are at most 1000 priorities by rule, so their sizes fit one sorted list.
-    inside = Window.partitionBy("priority").orderBy("created_at", "search_id")
-    better = Window.orderBy("priority").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = s.groupBy("priority").agg(F.count("*").alias("n"))
-    before = sizes.select("priority", F.coalesce(F.sum("n").over(better), F.lit(0)).alias("before"))
-    return (
-        ordered.withColumn("inside", F.row_number().over(inside))
-        .join(before, "priority")
-        .select("search_id", "priority", (F.col("inside") + F.col("before")).cast("bigint").alias("place"))
-    )
+    # One list of all searches, ranked by chunks.
+    ranked = rank_members(search_order(s).withColumn("_all", F.lit(1)), ["_all"], ["priority", "created_at", "search_id"])
+    return ranked.select("search_id", "priority", (F.col("rank") + 1).cast("bigint").alias("place"))
 
 
 _DRAFT = {
@@ -251,15 +242,15 @@ def _drafts(t):
     f"""WITH s AS (SELECT s_suppkey AS search_id, {", ".join(f"{e} AS {n}" for n, e in _DRAFT.items())},
       {", ".join(f"{e} AS {n}" for n, e in M.SEARCH.items())} FROM supplier),
     issues AS (
-      SELECT 'name' AS path, 'needs 1-100 characters' AS message FROM s WHERE trim(name) = ''
-      UNION ALL SELECT 'priority', 'is to be an integer from 1 to 1000' FROM s WHERE priority < 1
-      UNION ALL SELECT 'criteria.scope', 'broad searches require at least one hard narrowing filter: fuel, maximum price, maximum mileage, minimum year, or required keyword'
+      SELECT 'name' AS path, '{R.length(1, 100)}' AS message FROM s WHERE trim(name) = ''
+      UNION ALL SELECT 'priority', '{R.whole_number(1, 1000)}' FROM s WHERE priority < 1
+      UNION ALL SELECT 'criteria.scope', '{R.any_of("fuels", "price_range", "maximum_mileage", "minimum_year", "required_keywords")}'
         FROM s WHERE scope = 'broad' AND NOT (has_target OR price_hard OR min_year IS NOT NULL OR has_required OR (has_make AND NOT has_target))
-      UNION ALL SELECT 'location.origin', 'is to be empty in nationwide mode' FROM s WHERE location_mode = 'nationwide' AND origin IS NOT NULL
-      UNION ALL SELECT 'location.mode', 'is to be radius or nationwide' FROM s WHERE location_mode = 'nearby'
-      UNION ALL SELECT 'location.origin', 'needs 1-160 characters in radius mode' FROM s WHERE location_mode = 'radius' AND origin IS NULL
-      UNION ALL SELECT 'location.radius_km', 'is to be one of 25, 50, 100, 150, 250, 500 kilometres' FROM s WHERE location_mode = 'radius' AND radius_km = 40
-      UNION ALL SELECT 'criteria', 'needs at least one make, model, variant, or required keyword'
+      UNION ALL SELECT 'location.origin', '{R.empty_for("nationwide")}' FROM s WHERE location_mode = 'nationwide' AND origin IS NOT NULL
+      UNION ALL SELECT 'location.mode', '{R.choice("radius", "nationwide")}' FROM s WHERE location_mode = 'nearby'
+      UNION ALL SELECT 'location.origin', '{R.length(1, 160)}' FROM s WHERE location_mode = 'radius' AND origin IS NULL
+      UNION ALL SELECT 'location.radius_km', '{R.choice(*RADII)}' FROM s WHERE location_mode = 'radius' AND radius_km = 40
+      UNION ALL SELECT 'criteria', '{R.any_of("make_keywords", "model_keywords", "variant_keywords", "required_keywords")}'
         FROM s WHERE scope = 'targeted' AND NOT has_target AND NOT has_required AND NOT has_make)
     SELECT path, message, count(*) AS violations FROM issues GROUP BY ALL""",
 )
