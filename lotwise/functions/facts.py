@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 from lotwise.functions.numbers import round_half_up
 from lotwise.functions.text import AFTER_WORD, BEFORE_WORD, normalize_ws, words
 
+# Limits of years, distances and power.
+FIRST_YEAR, LAST_YEAR = 1950, 2100
+MOST_KILOMETRES = 3_000_000
+LEAST_HP, MOST_HP = 20, 2000
+
 # Ordered make patterns; the first rule that matches anywhere wins.
 MAKE_RULES = [
     ("mercedes(?:[ -]benz)?", "Mercedes-Benz"),
@@ -111,7 +116,7 @@ def year_in(text: Column, reference_year: Column) -> Column:
     return _first(
         F.filter(
             F.transform(years, lambda y: y.cast("int")),
-            lambda y: (y >= 1950) & (y <= reference_year + 1),
+            lambda y: (y >= FIRST_YEAR) & (y <= reference_year + 1),
         )
     )
 
@@ -148,7 +153,7 @@ def distance_in(text: Column) -> Column:
         miles = F.regexp_extract(hit, DISTANCE, 3).rlike("(?i)^(?:mi|miles?)$")
         return round_half_up(F.when(miles, amount * 1.609344).otherwise(amount))
 
-    return _first(F.filter(F.transform(unlabelled, kilometres), lambda v: (v >= 0) & (v <= 3_000_000)))
+    return _first(F.filter(F.transform(unlabelled, kilometres), lambda v: (v >= 0) & (v <= MOST_KILOMETRES)))
 
 
 def find_mileage(sources: Column) -> Column:
@@ -163,7 +168,7 @@ def power_in(text: Column) -> Column:
     amount = F.regexp_extract(text, POWER, 1).try_cast("double")
     kilowatts = F.lower(F.regexp_extract(text, POWER, 2)) == "kw"
     value = F.when(kilowatts, round_half_up(amount * 1.34102)).otherwise(amount)
-    return F.when((value >= 20) & (value <= 2000), value)
+    return F.when((value >= LEAST_HP) & (value <= MOST_HP), value)
 
 
 def find_power(sources: Column) -> Column:
@@ -276,12 +281,12 @@ def explicit_indicator(text: Column, positive: str) -> Column:
 
 def structured_year(value: Column) -> Column:
     whole = value == F.floor(value)
-    return F.when(whole & (value >= 1950) & (value <= 2100), value.cast("int"))
+    return F.when(whole & (value >= FIRST_YEAR) & (value <= LAST_YEAR), value.cast("int"))
 
 
 def structured_odometer(value: Column, unit: Column) -> Column:
     km = round_half_up(F.when(F.contains(F.lower(unit), F.lit("mile")), value * 1.609344).otherwise(value))
-    return F.when((value >= 0) & unit.isNotNull() & (km <= 3_000_000), km.cast("bigint"))
+    return F.when((value >= 0) & unit.isNotNull() & (km <= MOST_KILOMETRES), km.cast("bigint"))
 
 
 def structured_fuel(text: Column) -> Column:
@@ -307,7 +312,7 @@ def structured_gearbox(text: Column) -> Column:
 
 def structured_power(value: Column) -> Column:
     whole = value == F.floor(value)
-    return F.when(whole & (value >= 20) & (value <= 2000), value.cast("int"))
+    return F.when(whole & (value >= LEAST_HP) & (value <= MOST_HP), value.cast("int"))
 
 
 def clean_structured(text: Column) -> Column:

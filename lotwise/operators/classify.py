@@ -33,6 +33,7 @@ PATTERNS = {
     ],
     "printed_material": ["catálogo", "apresentação"],
 }
+# Fixed value: wording of a vehicle that is sold for its parts.
 PARTS_ONLY = "só para peças"
 
 
@@ -91,6 +92,7 @@ def subject_of(matched: Column) -> Column:
     )
 
 
+# Cents below which a price is suspicious, and the label of price flags.
 LOW_PRICE_CENTS = 100_000
 VERIFY_PRICE = "HIGH RISK / VERIFY PRICE"
 

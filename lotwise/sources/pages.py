@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from lotwise.functions import facts as X
 from lotwise.functions.numbers import is_price_text
-from lotwise.functions.text import normalize_ws, unescape_embedded, unescape_string
+from lotwise.functions.text import drop_location_notes, normalize_ws, unescape_embedded, unescape_string
 from lotwise.functions.urls import canonical_url, safe_image_url, safe_page_path
 from lotwise.sources.reading import SELLER_TYPE, VOID, CardShape, DetailShape, Elements, read_cards, read_details
 
@@ -379,6 +379,7 @@ def mark_repeats(cards: DataFrame, key: str) -> DataFrame:
     ).drop("_first")
 
 
+# Fixed value: a price that stands alone.
 _PLAIN_PRICE = r"^[\d\s.,]+(?:\s*(?:EUR|€))?$"
 
 
@@ -618,6 +619,7 @@ def extract_equipment(nodes: Column, section_name: str = "content-equipments-sec
     return X.let(X.let(visible(nodes), lambda v: section(v, section_name)), listed)
 
 
+# Fixed value: headings over a description.
 _DESCRIPTION_HEADING = (
     "(?iu)^(?:description|seller(?:'s|’s)? description|description du vendeur|descri[cç][aã]o(?: do vendedor)?"
     "|descripci[oó]n(?: del vendedor)?)$"
@@ -639,8 +641,10 @@ _STRING = "\"((?:\\\\.|[^\"\\\\])*)\""
 
 
 def description_candidates(nodes: Column) -> Column:
-    """All texts that may be the description, in document order of their kind."""
-    return X.let(visible(nodes), lambda v: _descriptions(nodes, v))
+    """All texts that may be the description, in document order of their kind, without notes that a
+    shown location is approximate."""
+    told = lambda n: (n["tag"] != "#text") | (F.size(drop_location_notes(F.array(n["text"]))) > 0)
+    return X.let(F.filter(visible(nodes), told), lambda v: _descriptions(nodes, v))
 
 
 def _descriptions(nodes: Column, v: Column) -> Column:

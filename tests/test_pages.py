@@ -142,3 +142,9 @@ def test_embedded_objects_are_measured_once():
 
     seconds(100)
     assert seconds(400) < 60 * max(seconds(100), 0.002)
+
+
+def test_descriptions_lose_location_notes(spark):
+    html = '<div data-field="description"><p>A car with many extras, well kept.</p><p>Location is approximate</p><p>Call in the evening.</p></div>'
+    df = P.page_nodes(spark.createDataFrame([(1, html)], PAGES))
+    assert df.select(P.extract_detail_description(F.col("nodes"))).first()[0] == "A car with many extras, well kept. Call in the evening."
