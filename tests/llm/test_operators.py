@@ -451,12 +451,78 @@ def test_rare_pairs_lose_no_link(spark):
             for _ in range(rng.randint(0, 3)):
                 copy[rng.randrange(80)] = rng.choice(VOCABULARY)
             texts.append(copy[: rng.randint(72, 80)])
-    frame = spark.createDataFrame([(bytes([i]), " ".join(t)) for i, t in enumerate(texts)], "node binary, text string")
+    frame = spark.createDataFrame([(bytes([i]), bytes([i]), " ".join(t)) for i, t in enumerate(texts)], "node binary, comp binary, text string")
     got = {(r["a"][0], r["b"][0]) for r in near_dups._rare_pairs(frame, frame.select("node")).collect()}
     want = {(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts)) if texts[i] != texts[j] and near_dups.similar(texts[i], texts[j])}
     assert want and want <= got
 
 
+def brute_classes(texts):
+    words = [near_dups.normal_words(t) for t in texts]
+    parent = list(range(len(texts)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if root(i) != root(j) and near_dups.similar(words[i], words[j]):
+                parent[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(texts))]
+
+
+@pytest.mark.parametrize("length", [30, 45])
+def test_one_large_group_and_a_shared_passage(spark, monkeypatch, length):
+    """Classes as of all pairs; texts that are one component already are not paired again."""
+    rng = random.Random(length)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(4000)]
+    own = prose(length, rng, words).split()
+    texts = []
+    for _ in range(400):
+        copy = list(own)
+        copy[rng.randrange(length)] = rng.choice(words)
+        texts.append(" ".join(copy))
+    passage = prose(60, rng, words)
+    texts += [f"{passage} {prose(40, rng, words)}" for _ in range(60)]
+    met, whole = [], near_dups._rare_pairs
+
+    def counted(*args):
+        pairs = whole(*args).cache()
+        met.append(pairs.count())
+        return pairs
+
+    monkeypatch.setattr(near_dups, "_rare_pairs", counted)
+    got = {r["doc_id"]: r["class_id"] for r in near_dups.near_duplicate_classes(documents(spark, list(enumerate(texts)))).collect()}
+    want = brute_classes(texts)
+    assert [got[i] for i in range(len(texts))] == want
+    assert sum(met) <= 4 * len(texts)
+
+
+def test_recall_of_the_sketches():
+    """Of pairs whose shingles are 0.8 to 0.9 alike, nearly all share a band."""
+    rng = random.Random(12)
+    words = ["".join(rng.choice("abcdefghijkl") for _ in range(6)) for _ in range(4000)]
+    found = pairs = 0
+    while pairs < 400:
+        own = prose(150, rng, words).split()
+        copy = own[: rng.randint(128, 140)]
+        if rng.random() < 0.5:
+            copy = list(own)
+            copy[rng.randrange(150)] = "x"
+            copy[rng.randrange(150)] = "y"
+        one, two = near_dups.shingles(own), near_dups.shingles(copy)
+        alike = len(set(one) & set(two)) / len(set(one) | set(two))
+        if not near_dups.SIMILARITY <= alike < 0.9:
+            continue
+        number = {s: k for k, s in enumerate(dict.fromkeys(one + two))}
+        keys = [near_dups.order_sketch(near_dups.labelled(near_dups.mix(np.array([number[s] for s in x], np.uint64) + np.uint64(99)))) for x in (one, two)]
+        found += any(a == b for a, b in zip(*keys))
+        pairs += 1
+    assert found >= 0.99 * pairs
+
+
 # Language
 
 
