@@ -17,7 +17,6 @@ from lotwise.session import get_spark  # noqa: E402
 import workload  # noqa: E402
 
 HEADLINE = [
-    "duplicate_groups",
     "detail_facts",
     "cohort_valuation",
     "confidence_levels",
