@@ -44,6 +44,18 @@ def labelled(shingles: np.ndarray) -> np.ndarray:
     return out[np.sort(order[begins])] if len(begins) >= PICKED else out
 
 
+def few_key(shingles: np.ndarray) -> list[int]:
+    """One more key for a text of fewer different shingles than a sketch picks: these in text order,
+    without the number of their occurrence, since similarity does not count repeats."""
+    found, at = np.unique(shingles, return_index=True)
+    if len(found) >= PICKED:
+        return []
+    own = np.uint64(len(found))
+    for i in np.sort(at):
+        own = mix(own * np.uint64(3) + shingles[i : i + 1])[0]
+    return [int(np.int64(own.view(np.int64)))]
+
+
 def order_sketch(labels: np.ndarray) -> list[int]:
     """One key per band: its smallest labelled shingles, in the order of the text."""
     keys = np.empty(BANDS, np.uint64)
@@ -80,7 +92,7 @@ def _sketch(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 # A text of fewer words than a shingle is near to no other.
                 own = runs[a : max(a, b - WORDS + 1)]
                 different.append(len(np.unique(own)))
-                keys.append(order_sketch(labelled(own)) if len(own) else [])
+                keys.append(order_sketch(labelled(own)) + few_key(own) if len(own) else [])
             yield pa.RecordBatch.from_arrays(
                 [part.column("doc_id"), pa.array(node, pa.binary()), pa.array(size, pa.int32()), pa.array(different, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
                 ["doc_id", "node", "n_words", "size", "keys"],
@@ -184,15 +196,17 @@ def _groups(texts: DataFrame, members: DataFrame) -> DataFrame:
     ``members`` has (bucket, node, size, near); ``near`` is how many texts share a bucket with it. In
     a few rounds the text of each bucket that is nearest to most is compared with those that are left
     there: a group of copies meets its original, which settles it at the cost of its size. A text is
-    settled in a bucket if it is in the component of that bucket's leader, by whatever links, since a
-    further link could not change its class. What is then left, texts that share a passage and
+    settled in a bucket if it is in the component of that bucket's first leader, by whatever links: of two
+    texts of a bucket in different components one at least is not. What is then left, texts that share a passage and
     little else, is compared across components with the texts of its buckets that share one of its
     rarest shingles: any text as similar as ``SIMILARITY`` does.
     """
-    left, links, seen = members, None, None
+    left, links, seen, firsts = members, None, None, None
     for _ in range(ROUNDS):
         lead = left.groupBy("bucket").agg(F.min(F.struct((-F.col("near")).alias("far"), "node", "size")).alias("lead"))
         asked = checkpointed(left.join(lead, "bucket").select("bucket", "node", "size", "near", F.col("lead.node").alias("leader"), F.col("lead.size").alias("led")))
+        # Every text of every bucket beside its first leader.
+        firsts = asked.select("bucket", "node", "leader") if firsts is None else firsts
         fit = asked.where((F.col("node") != F.col("leader")) & _fit("size", "led"))
         pairs = fit.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
         pairs = checkpointed(pairs if seen is None else pairs.join(seen, ["a", "b"], "left_anti"))
@@ -202,7 +216,7 @@ def _groups(texts: DataFrame, members: DataFrame) -> DataFrame:
         both_ways = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).select(F.col("a").alias("node"), F.col("b").alias("leader"))
         left = checkpointed(asked.where(F.col("node") != F.col("leader")).join(both_ways, ["node", "leader"], "left_anti").select("bucket", "node", "size", "near", "leader"))
     labels = components(links)
-    open_ = _labelled(_labelled(left, labels, "node", "comp"), labels, "leader", "led_by").where(F.col("comp") != F.col("led_by"))
+    open_ = _labelled(_labelled(firsts, labels, "node", "comp"), labels, "leader", "led_by").where(F.col("comp") != F.col("led_by"))
     open_ = checkpointed(open_.select("bucket", "node"))
     around = _labelled(members.join(open_.select("bucket").distinct(), "bucket").select("node").distinct(), labels, "node", "comp")
     rest = _rare_pairs(texts.join(around, "node"), open_.select("node").distinct())
@@ -306,8 +320,7 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
 
     Null texts and texts without words are classes of their own, as are texts under five words
     that no other text repeats. Repeated rows share their class. A null doc_id never names a class
-    unless all its documents have none; a text that only rows without an id have is compared with
-    none but its equals. Other columns are not read.
+    unless all its documents have none. Other columns are not read.
     """
     rows = checkpointed(docs.select("doc_id", "text").mapInArrow(_sketch, f"doc_id {dict(docs.dtypes)['doc_id']}, node binary, n_words int, size int, keys array<long>"))
     held = rows.where(F.col("node").isNotNull())
@@ -319,9 +332,11 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     near = members.groupBy("node").agg(F.sum("n").alias("near"))
     members = checkpointed(members.drop("n").join(near, "node"))
     # Texts of the members, once each; the rest of the documents' text is not kept.
-    wanted = members.select("node").distinct().join(nodes.select("node", "doc"), "node").where(F.col("doc").isNotNull())
-    first = docs.select("doc_id", "text").join(wanted.withColumnRenamed("doc", "doc_id"), "doc_id")
-    texts = checkpointed(first.mapInArrow(_own_text, "node binary, text string").dropDuplicates(["node"]))
+    wanted = members.select("node").distinct().join(nodes.select("node", "doc"), "node")
+    first = docs.select("doc_id", "text").join(wanted.where(F.col("doc").isNotNull()).withColumnRenamed("doc", "doc_id"), "doc_id")
+    nameless = docs.where(F.col("doc_id").isNull()).select("text").mapInArrow(_with_node, "node binary, text string")
+    nameless = nameless.join(wanted.where(F.col("doc").isNull()).select("node"), "node", "left_semi")
+    texts = checkpointed(first.mapInArrow(_own_text, "node binary, text string").unionByName(nameless).dropDuplicates(["node"]))
     labels = nodes.join(_groups(texts, members), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
     named = labels.join(nodes.select("node", "doc"), "node")
     classes = named.groupBy("label").agg(F.min("doc").alias("class_id"), F.count("*").alias("class_texts"))
@@ -331,6 +346,17 @@ def near_duplicate_classes(docs: DataFrame) -> DataFrame:
     )
 
 
+def _with_node(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every text with words and the digest of these."""
+    for batch in batches:
+        nodes = []
+        for text in batch.column("text"):
+            words = normal_words(text.as_py())
+            nodes.append(blake2b(b" ".join(words), digest_size=16).digest() if words else None)
+        node = pa.array(nodes, pa.binary())
+        yield pa.RecordBatch.from_arrays([node, batch.column("text")], ["node", "text"]).filter(node.is_valid())
+
+
 def _own_text(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows whose text is the one of the node; rows of one doc_id may hold several texts."""
     for batch in batches:

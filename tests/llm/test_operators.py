@@ -331,6 +331,48 @@ def test_words_in_names_of_article_content():
 # Licenses
 
 
+def test_links_across_settled_parts_of_a_bucket(spark, monkeypatch):
+    # One bucket holds all: the first leader settles those it links, the second meets only the rest.
+    words = [f"w{i}" for i in range(400)]
+    chain = [words[0:200], words[18:218], words[36:236], words[54:254]]
+    assert near_dups.similar(chain[0], chain[1]) and not near_dups.similar(chain[0], chain[2])
+    monkeypatch.setattr(near_dups, "ROUNDS", 2)
+    texts = spark.createDataFrame([(bytes([i]), " ".join(c)) for i, c in enumerate(chain)], "node binary, text string")
+    # The middle texts would lead by their counts; here the ends do.
+    near = [9, 1, 1, 8]
+    members = spark.createDataFrame([(1, bytes([i]), 196, near[i]) for i in range(len(chain))], "bucket long, node binary, size int, near long")
+    labels = {r["node"][0]: r["label"][0] for r in near_dups._groups(texts, members).collect()}
+    assert labels == {i: 0 for i in range(len(chain))}
+
+
+def test_near_duplicates_of_few_shingles_and_without_ids(spark):
+    rows = [(i, " ".join(["x"] * (5 + i))) for i in range(4)]
+    own = prose(300).split()
+    rows += [(None, " ".join(own)), (None, " ".join(own[:290])), (20, " ".join(own[:280])), (21, prose(50))]
+    got = near_dups.near_duplicate_classes(documents(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["class_id"], r["class_texts"]) for r in got if r["doc_id"] is not None) == [*((i, 0, 4) for i in range(4)), (20, 20, 3), (21, 21, 1)]
+    assert [(r["class_id"], r["class_texts"]) for r in got if r["doc_id"] is None] == [(20, 3), (20, 3)]
+
+
+def test_compression_decides_on_licenses(monkeypatch):
+    text = prose(40) + " Released under the MIT License. " + prose(40)
+    assert [n[2] for n in licenses.notices(text)] == ["MIT"]
+    rng = random.Random(7)
+    for form, (name, want, at, told, _) in enumerate(licenses.forms()):
+        # Wording at its limit, among other words, is still shortened enough.
+        spare = [i for i in range(len(want)) if not at <= i < at + told]
+        gone = set(rng.sample(spare, min(len(spare), int(0.2 * len(want)))))
+        own = []
+        for i, w in enumerate(want):
+            if i not in gone:
+                own += [w] if at <= i < at + told else [w, rng.choice(VOCABULARY)]
+        begin = next(i for i in range(len(own)) if own[i : i + told] == want[at : at + told])
+        assert licenses.reduction(licenses.around([*prose(400, rng).split(), *own, *prose(400, rng).split()], 400 + begin, form), form) >= licenses.LEAST_REDUCTION, name
+    # A compressor that finds nothing in common finds no notice, whatever the wording.
+    monkeypatch.setattr(licenses, "saved", lambda words, form: (0, 0.0))
+    assert licenses.notices(text) == []
+
+
 def test_licenses_by_wording(spark):
     texts = ["Foo.\nLicensed under the Apache License, Version 2.0.\nBar", "licensed under CC BY-NC 4.0", "Licensed under CC BY 4.0.", "This work is licensed under the GNU General Public License, version 2.", None, ""]
     texts += [prose(500) + ". Released under the MIT License. " + prose(500), "my license plate is gone", "All  rights\treserved.", "Released under the really good MIT License.", "All rights reserved.\nAll rights reserved."]
