@@ -255,3 +255,29 @@ def test_queue_items_follow_their_log(spark):
     assert got == {
         1: ("queued", 6, 1, None), 2: ("queued", 5, 1, "timeout"), 3: ("failed", 5, 1, "invalid_response"), 4: ("queued", 5, 0, None)
     }
+
+
+def test_stream_state_is_folded_from_plain_rows():
+    from pyspark.sql import Row
+
+    from lotwise.streaming.lifecycle import Lifecycle
+
+    class Held:
+        reads, value = 0, None
+
+        def get(self):
+            self.reads += 1
+            return self.value
+
+        def update(self, value):
+            self.value = value
+
+    fold = Lifecycle("listing_id", ["o0"], False)
+    fold.held = Held()
+    rows = [Row(kind="sold", at=9, o0=None), Row(kind="miss", at=9, o0=2), Row(kind="seen", at=5, o0=1)]
+    (out,) = fold.handleInputRows(("a",), iter(rows), None)
+    assert out.asDict() == {
+        "listing_id": "a", "first_seen_at": 5, "last_seen_at": 5, "consecutive_misses": 1, "possibly_unavailable_at": None,
+        "inactive_at": None, "sold_at": 9, "changes": 1,
+    }
+    assert fold.held.reads == 1 and fold.held.value == (5, 5, 1, None, None, 9, 1)
