@@ -10,11 +10,10 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
+from lotwise.functions.batches import SLICE_BYTES as SLICE_BYTES
+from lotwise.functions.batches import slices as slices
 from lotwise.session import ensure_checkpoint_dir
 
-# Text worked on at once by the numpy code; its arrays take about 40 times as much.
-SLICE_BYTES = 1 << 20
-
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cut the lineage with a written copy in the folder that all executors share."""
@@ -22,17 +21,6 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def slices(batch: pa.RecordBatch, column: str, budget: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
-    """Runs of rows whose texts have about ``budget`` bytes; a longer text comes alone."""
-    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(column)), 0), dtype=np.int64))
-    start, rows = 0, batch.num_rows
-    while start < rows:
-        base = ends[start - 1] if start else 0
-        end = max(start + 1, int(np.searchsorted(ends, base + budget, "right")))
-        yield batch.slice(start, end - start)
-        start = end
-
-
 def text_bytes(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """UTF-8 bytes of a string column and the offsets of its rows; null counts as empty."""
     array = pc.fill_null(array, "").cast(pa.large_string())

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lotwise.functions import facts as X
+from lotwise.functions.batches import slices
 from lotwise.functions.numbers import is_price_text
 from lotwise.functions.text import drop_location_notes, normalize_ws, unescape_embedded, unescape_string
 from lotwise.functions.urls import canonical_url, safe_image_url, safe_page_path
@@ -78,11 +79,11 @@ def page_nodes(pages: DataFrame, key: str = "page_id", html: str = "html", name_
     kind = source.schema[key].dataType.simpleString()
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for part in (p for batch in batches for p in slices(batch, 1)):
             rows = []
-            for text in batch.column(1).to_pylist():
+            for text in part.column(1).to_pylist():
                 rows.append(_NodeReader(name_attr, field_attr).read(text).nodes)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, _NODE_LIST)], [key, "nodes"])
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, _NODE_LIST)], [key, "nodes"])
 
     return source.mapInArrow(read, f"{key} {kind}, nodes {NODES}")
 

@@ -3,8 +3,10 @@
 import random
 import time
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
+from lotwise.session import BATCH_BYTES, prepare
 from lotwise.sources import pages as P
 from lotwise.sources.reading import HIDDEN_IN_DETAILS, PRIVATE_AREA, CardReader, CardShape, DetailReader, DetailShape
 
@@ -148,3 +150,34 @@ def test_descriptions_lose_location_notes(spark):
     html = '<div data-field="description"><p>A car with many extras, well kept.</p><p>Location is approximate</p><p>Call in the evening.</p></div>'
     df = P.page_nodes(spark.createDataFrame([(1, html)], PAGES))
     assert df.select(P.extract_detail_description(F.col("nodes"))).first()[0] == "A car with many extras, well kept. Call in the evening."
+
+
+def test_readers_work_off_a_large_batch_in_portions(spark, monkeypatch):
+    from lotwise.sources import embedded, reading
+
+    page = '<html><body><div data-testid="item-card"><p data-field="title">car</p></div>' + "<i>word</i>" * 4000 + "</body></html>"
+    batch = pa.RecordBatch.from_pydict({"page_id": list(range(100)), "html": [page] * 100})
+    source = spark.createDataFrame([], PAGES)
+    taken = []
+    monkeypatch.setattr(type(source), "mapInArrow", lambda self, read, schema: taken.append(read))
+    P.page_nodes(source)
+    reading.read_cards(source, SHAPE)
+    reading.read_details(source)
+    embedded.read_embedded(source)
+    for read in taken:
+        parts = list(read(iter([batch])))
+        assert [x for p in parts for x in p.column(0).to_pylist()] == list(range(100))
+        assert max(p.num_rows for p in parts) < 30
+    assert len(taken) == 4
+
+
+def test_batches_for_python_are_bounded_in_bytes(spark):
+    prepare(spark)
+    rows = spark.range(0, 3000, 1, 1).select(F.col("id").alias("page_id"), F.repeat(F.lit("x"), 10_000).alias("html"))
+
+    def counted(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    sizes = [r["n"] for r in rows.mapInArrow(counted, "n bigint").collect()]
+    assert sum(sizes) == 3000 and max(sizes) * 10_000 < 2 * BATCH_BYTES
