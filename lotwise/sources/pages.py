@@ -602,7 +602,8 @@ def detail_facts(pages: DataFrame, reference_year: Column, shape: DetailShape =
         return out
     asked = pages.select(key, F.col(url).alias("_asked"))
     plain = lambda c: F.regexp_extract(c, r"^[^?#]*", 0)
-    return out.join(asked, key).withColumn("same_page", plain(F.col("canonical")) == plain(F.col("_asked"))).drop("_asked")
+    # Addresses are as many as pages, whatever the size of the files they are made from suggests.
+    return out.join(asked.hint("merge"), key).withColumn("same_page", plain(F.col("canonical")) == plain(F.col("_asked"))).drop("_asked")
 
 
 def extract_equipment(nodes: Column, section_name: str = "content-equipments-section") -> Column:

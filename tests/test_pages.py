@@ -181,3 +181,10 @@ def test_batches_for_python_are_bounded_in_bytes(spark):
 
     sizes = [r["n"] for r in rows.mapInArrow(counted, "n bigint").collect()]
     assert sum(sizes) == 3000 and max(sizes) * 10_000 < 2 * BATCH_BYTES
+
+
+def test_addresses_of_details_are_not_broadcast(spark):
+    pages = spark.range(1, 2).select(F.col("id").alias("page_id"), F.lit("https://x.example/1").alias("url"), F.lit("<p>a</p>").alias("html"))
+    out = P.detail_facts(pages, F.lit(2024), url="url")
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r["page_id"] for r in out.collect()] == [1]
