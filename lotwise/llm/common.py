@@ -53,7 +53,7 @@ def _power_table(base: np.uint64, n: int) -> tuple[np.ndarray, np.ndarray]:
         size = max(n, 1 << 16)
         up, down = np.full(size, base, np.uint64), np.full(size, pow(int(base), -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
-        have = _powers[int(base)] = (np.cumprod(up), np.cumprod(down))
+        have = _powers[int(base)] = (np.cumprod(up, out=up), np.cumprod(down, out=down))
     return have
 
 
@@ -110,7 +110,13 @@ def split_words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Wor
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of the bytes of each span."""
-    sums, down = _sums(data.astype(np.uint64) + np.uint64(1), _BASE)
+    up, down = _power_table(_BASE, len(data) + 1)
+    # In place: an array here has eight bytes for each of the text.
+    values = data.astype(np.uint64)
+    values += np.uint64(1)
+    values *= up[: len(data)]
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(values, out=sums[1:])
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
 
 

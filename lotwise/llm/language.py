@@ -18,6 +18,8 @@ DOCS_PER_LANGUAGE = 200  # bound of the labelled sample: rows
 WORDS_PER_DOC = 200  # and words of each of them, evenly spread over its whole text
 STEPS, BATCH, RATE = 500, 256, 0.02
 CACHED_WORDS = 150_000  # words whose pooled probabilities a worker keeps
+SLICE_BYTES = 2 << 20  # text whose new words are labelled together
+PIECE_BYTES = 1 << 19  # text whose words are found at once
 UNKNOWN = "und"
 
 _LETTER = np.zeros(256, bool)
@@ -158,7 +160,7 @@ def sequences(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nda
     number = np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts)
     starts = np.repeat(words.starts, parts) + number * LONGEST
     ends = np.minimum(starts + LONGEST, np.repeat(words.ends, parts))
-    letters = np.zeros(len(data) + 1, np.int64)
+    letters = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
     np.cumsum(_LETTER[data], out=letters[1:])
     some = letters[ends] > letters[starts]
     return starts[some], ends[some], np.repeat(words.text(), parts)[some]
@@ -202,12 +204,19 @@ def _predict(model: ByteNetwork | None, carry: list[str]):
         place: dict[int, int] = {}
         table = np.zeros((CACHED_WORDS, 2 * n), np.float32)
         for batch in batches:
-            for part in slices(batch, "text"):
-                data, offsets = text_bytes(part.column("text"))
+            for part in slices(batch, "text", SLICE_BYTES):
                 sums = np.zeros((part.num_rows, 2 * n))
-                starts, ends, text = sequences(data, offsets) if n else (np.zeros(0, np.int64),) * 3
-                if len(starts):
-                    hashes, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+                pieces, row = [], 0
+                for piece in slices(part, "text", PIECE_BYTES) if n else ():
+                    data, offsets = text_bytes(piece.column("text"))
+                    starts, ends, text = sequences(data, offsets)
+                    if len(starts):
+                        own_hashes, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+                        pieces.append((data, starts[first], ends[first], own_hashes, which.astype(np.int32), text + row))
+                    row += piece.num_rows
+                if pieces:
+                    hashes, first = np.unique(np.concatenate([p[3] for p in pieces]), return_index=True)
+                    base = np.cumsum([0] + [len(p[3]) for p in pieces])
                     if len(place) + len(hashes) > CACHED_WORDS:
                         place.clear()
                     keys = hashes.tolist()
@@ -215,12 +224,18 @@ def _predict(model: ByteNetwork | None, carry: list[str]):
                     if len(place) + len(new) > len(table):  # one slice with more words than are kept
                         table = np.zeros((len(place) + len(new), 2 * n), np.float32)
                     if new:
-                        base = len(place)
-                        table[base : base + len(new)] = model.pooled([data[starts[first[i]] : ends[first[i]]].tobytes() for i in new])
-                        place.update((keys[i], base + k) for k, i in enumerate(new))
-                    own = table[np.fromiter((place[h] for h in keys), np.int64, len(keys))].astype(np.float64)[which]
-                    begins = np.flatnonzero(np.diff(text, prepend=-1))
-                    sums[text[begins]] = np.add.reduceat(own, begins, axis=0)
+                        words = []
+                        for at in first[new].tolist():
+                            k = int(np.searchsorted(base, at, "right")) - 1
+                            data, starts, ends = pieces[k][:3]
+                            words.append(data[starts[at - base[k]] : ends[at - base[k]]].tobytes())
+                        held = len(place)
+                        table[held : held + len(new)] = model.pooled(words)
+                        place.update((keys[i], held + k) for k, i in enumerate(new))
+                    for _, _, _, own_hashes, which, text in pieces:
+                        own = table[np.fromiter((place[h] for h in own_hashes.tolist()), np.int64, len(own_hashes))].astype(np.float64)[which]
+                        begins = np.flatnonzero(np.diff(text, prepend=-1))
+                        sums[text[begins]] = np.add.reduceat(own, begins, axis=0)
                 yield _answers(part, carry, names, sums)
 
     return run

@@ -8,6 +8,7 @@ import textwrap
 
 import numpy as np
 import pytest
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from lotwise.llm import bpe, chat, decontaminate, html_text, language, licenses, near_dups, substring, top_k, url_filter
@@ -598,3 +599,17 @@ def test_language_on_rows_held_out(spark):
     assert language.train_language_model(docs.limit(0)) is None
     assert {r["lang_pred"] for r in language.predict_language(documents(spark, odd), None).collect()} == {"und"}
     assert language.predict_language(docs.limit(0), model).count() == 0
+
+
+def test_words_of_a_slice_are_found_in_pieces(monkeypatch):
+    from lotwise.llm import language
+
+    texts = [f"wort{i % 37} word{i} " * 400 for i in range(300)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(300)), "text": texts})
+    found, sizes = language.sequences, []
+    monkeypatch.setattr(language, "sequences", lambda data, offsets: sizes.append(len(data)) or found(data, offsets))
+    run = language._predict(language.ByteNetwork(["de", "en"]), ["doc_id"])
+    in_pieces = [p.to_pydict() for p in run(iter([batch]))]
+    assert max(sizes) <= 1 << 19 and sum(sizes) == sum(map(len, texts))
+    monkeypatch.setattr(language, "PIECE_BYTES", language.SLICE_BYTES)
+    assert [p.to_pydict() for p in run(iter([batch]))] == in_pieces
