@@ -398,6 +398,28 @@ def test_notices_within_other_prose(size):
     assert licenses.notices("I was under the strong impression that in the end we only ever discussed the MIT License") == []
 
 
+def test_notices_with_any_word_altered(spark):
+    rng, texts = random.Random(11), []
+    for form, (_, named, _) in licenses.templates().items():
+        name, want, *_ = licenses.forms()[form]
+        spare = [i for i in range(len(want)) if i not in named] if licenses.spare(form) else []
+        for i in rng.sample(spare, min(len(spare), 12)):
+            texts.append((name, f"{prose(60, rng)} {' '.join([*want[:i], 'zq' + prose(1, rng), *want[i + 1 :]])} {prose(60, rng)}"))
+    for name, text in texts:
+        assert [(n[2], n[4]) for n in licenses.notices(text)] == [(name, False)], text
+    rows = [(0, "Licensed under the Apache Licence, Version 2.0."), (1, "All the rights are reserved."), (2, "Released under the MIT terms."), (3, "Licensed under Creative CC BY version 4.0.")]
+    found = licenses.scan_licenses(documents(spark, rows)).collect()
+    assert sorted((r["doc_id"], r["license"], r["exact"]) for r in found) == [(0, "Apache-2.0", False), (1, "all-rights-reserved", False), (2, "MIT", False), (3, "CC-BY-4.0", False)]
+    # A name or a version is never the altered word, nor is a kind of the license added.
+    for text in ("Licensed under the Educational Community License, Version 2.0.", "Released under the BSD License.", "Licensed under CC BY-NC-SA 4.0.", "This work is licensed under the GNU General Public License, version 1.", "This work is licensed under the Eclipse Public License, version 2.0."):
+        assert licenses.notices(text) == [], text
+
+
+def test_many_notices_in_one_text():
+    assert len(licenses.notices("Released under the MIT License. " * 3000)) == 3000
+    assert len(licenses.notices((licenses._GNU.format(kind="General", n="3").replace("hope", "wish") + "\n") * 30)) == 30
+
+
 @pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "dnl ", "REM ", "; ", "> "])
 @pytest.mark.parametrize("width", [30, 72])
 def test_wrapped_headers_and_full_texts(mark, width):
